@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, lang_id
+from tessera.llm import decontamination, exact_dedup, lang_id, packing
 
 QUERIES = {
+    "op3_packing": packing.query,
+    "op5_decontamination": decontamination.query,
     "op8_exact_dedup": exact_dedup.query,
     "op10_lang_id": lang_id.query,
 }
-SQL = {"op8_exact_dedup": exact_dedup.SQL}
+SQL = {"op5_decontamination": decontamination.SQL, "op8_exact_dedup": exact_dedup.SQL}
