@@ -98,9 +98,12 @@ def groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns."""
-    kept = groups(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """The documents that stay, with their columns.
+
+    The ids that go are written first: few as a rule, so that the texts need not be shuffled to drop them.
+    """
+    gone = materialize(groups(docs).filter("NOT kept").select("doc_id").distinct(), "copies")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, exact_dedup, lang_id, packing
+from tessera.llm import decontamination, exact_dedup, lang_id, packing, simhash
 
 QUERIES = {
     "op3_packing": packing.query,
     "op5_decontamination": decontamination.query,
+    "op7_simhash": simhash.query,
     "op8_exact_dedup": exact_dedup.query,
     "op10_lang_id": lang_id.query,
 }
