@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, exact_dedup, lang_id, packing, simhash
+from tessera.llm import decontamination, exact_dedup, lang_id, packing, simhash, toxicity
 
 QUERIES = {
     "op3_packing": packing.query,
+    "op4_toxicity": toxicity.query,
     "op5_decontamination": decontamination.query,
     "op7_simhash": simhash.query,
     "op8_exact_dedup": exact_dedup.query,
