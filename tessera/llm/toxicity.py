@@ -1,12 +1,12 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-Features of a text: densities of insulting words (a fixed list, and words learned as frequent in toxic and rare in
-other training texts), also after undoing digits and signs put for letters; how many stand near a word that addresses
+Features of a text: densities of insulting words (a fixed list, and words or stems, that is first letters of words,
+learned as frequent in toxic and rare in other training texts, in whatever language), also after undoing digits and signs put for letters; how many stand near a word that addresses
 the reader; capitals, capital words, punctuation, exclamation and question marks, digits, repeated letters and the
 rate of obfuscated words; length.
 
 Training: labelled rows with crc32(doc_id as text) mod 3 not 1, at most SAMPLE of them by the hash of their id. Only
-their features (FEATURES numbers a row) and LEARNED words at most reach the driver. The trees are grown there by
+their features (FEATURES numbers a row) and LEARNED words and stems at most reach the driver. The trees are grown there by
 histograms; the isotonic map is fitted on scores of rows that the trees of another fold did not see.
 
 Cases: null labels are left out; of repeated labels of an id the largest counts. Null texts count as empty and are
@@ -28,9 +28,13 @@ from tessera.llm.common import crc_fold, materialize, table
 
 SAMPLE = 30_000
 LEARNED = 300
-#: A learned word occurs in so many toxic training texts and such a share of them, and its odds there are so many times
+#: Bytes of the stems that are tried, besides the whole word (0).
+STEMS = (4, 5, 6, 0)
+#: Units that a task counts before it hands them on.
+UNITS_HELD = 400_000
+#: A learned word or stem occurs in so many toxic training texts and such a share of them, and its odds there are so many times
 #: those elsewhere.
-LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 5, 0.02, 8.0
+LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 5, 0.01, 8.0
 TREES, DEPTH, RATE, BINS, LEAST_LEAF, RIDGE = 80, 3, 0.15, 64, 10, 1.0
 THRESHOLD = 0.7
 NEAR = 5
@@ -53,14 +57,25 @@ REST = re.compile(rb"\S+")
 FEATURES = 17
 
 
-def features(text: bytes, learned: frozenset[bytes]) -> list[float]:
-    """FEATURES numbers of a text in UTF-8."""
+def units(word: bytes) -> list[bytes]:
+    """The word and its stems, marked with their lengths so that a stem is not a word."""
+    return [b"%d:%b" % (k, word[:k] if k else word) for k in STEMS if len(word) > k]
+
+
+def by_length(learned: frozenset[bytes]) -> list[tuple[int | None, frozenset[bytes]]]:
+    """Learned stems by length; None for whole words."""
+    sets = [(k or None, frozenset(u.partition(b":")[2] for u in learned if u.startswith(b"%d:" % k))) for k in STEMS]
+    return [x for x in sets if x[1]]
+
+
+def features(text: bytes, stems: list[tuple[int | None, frozenset[bytes]]]) -> list[float]:
+    """FEATURES numbers of a text in UTF-8; stems: what by_length gives."""
     count = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     letters = max(1, int(count[65:91].sum() + count[97:123].sum() + count[128:].sum()))
     words = text.translate(PLAIN).split()
     n = max(1, len(words))
     fixed = [i for i, w in enumerate(words) if w in INSULTS]
-    own = [i for i, w in enumerate(words) if w in learned] if learned else []
+    own = sorted({i for k, known in stems for i, w in enumerate(words) if w[:k] in known})
     either = sorted({*fixed, *own})
     near = sum(any(w in SECOND for w in words[max(0, i - NEAR) : i + NEAR + 1]) for i in either)
     obfuscated = undone = 0
@@ -70,7 +85,7 @@ def features(text: bytes, learned: frozenset[bytes]) -> list[float]:
             obfuscated += 1
             head = EDGE.search(text, max(0, at - 20), at)
             word = ((head[0] if head else b"") + REST.match(text, at, at + 20)[0]).translate(LEET).translate(PLAIN).strip()
-            undone += word in INSULTS or word in learned
+            undone += word in INSULTS or any(word[:k] in known for k, known in stems)
     return [
         np.log1p(n),
         len(fixed), len(fixed) / n, len(own), len(own) / n, len(either), len(either) / n, len({words[i] for i in either}),
@@ -86,9 +101,11 @@ def features(text: bytes, learned: frozenset[bytes]) -> list[float]:
 def featured(rows: DataFrame, columns: list[str], learned: frozenset[bytes]) -> DataFrame:
     """`columns` of rows, and x: the features of text."""
 
+    stems = by_length(learned)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t.as_py() or b"", learned) for t in batch.column("_text").cast(pa.binary())]
+            x = [features(t.as_py() or b"", stems) for t in batch.column("_text").cast(pa.binary())]
             yield pa.record_batch([*[batch.column(c) for c in columns], pa.array(x, pa.list_(pa.float64()))], [*columns, "x"])
 
     return rows.select(*columns, F.col("text").alias("_text")).mapInArrow(run, rows.select(*columns).withColumn("x", F.array().cast("array<double>")).schema)
@@ -187,16 +204,35 @@ class Model:
         return np.interp(self.trees.raw(x), *self.knots) if self.trees else np.full(len(x), self.share)
 
 
+def count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts, and toxic ones, that hold each word or stem."""
+
+    def flush(held: dict[bytes, list[int]]) -> pa.RecordBatch:
+        out = pa.record_batch([pa.array(held, pa.binary()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())], ["unit", "t", "n"])
+        held.clear()
+        return out
+
+    held: dict[bytes, list[int]] = {}
+    for batch in batches:
+        for text, toxic in zip(batch.column("text").cast(pa.binary()), batch.column("toxic").to_pylist(), strict=True):
+            for u in {u for w in {*text.as_py().translate(PLAIN).split()} for u in units(w)}:
+                v = held.setdefault(u, [0, 0])
+                v[0] += toxic
+                v[1] += 1
+            if len(held) > UNITS_HELD:
+                yield flush(held)
+    yield flush(held)
+
+
 def learn_words(rows: DataFrame) -> frozenset[bytes]:
-    """Words of rows (text, toxic) that are frequent in toxic texts and rare in the others."""
+    """Words and stems of rows (text, toxic) that are frequent in toxic texts and rare in the others."""
     totals = rows.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     if not totals["n"] or not totals["t"] or totals["t"] == totals["n"]:
         return frozenset()
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    counts = rows.select("toxic", F.explode(words).alias("word")).filter("length(word) > 1").groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
+    counts = rows.select("text", "toxic").mapInArrow(count_units, "unit binary, t long, n long").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     odds = ((F.col("t") + 0.5) / (totals["t"] + 1)) / ((F.col("n") - F.col("t") + 0.5) / (totals["n"] - totals["t"] + 1))
-    found = counts.filter(F.col("t") >= max(LEAST_TEXTS, LEAST_SHARE * totals["t"])).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("t"), "word").limit(LEARNED)
-    return frozenset(r["word"].encode() for r in found.collect())
+    found = counts.filter(F.col("t") >= max(LEAST_TEXTS, LEAST_SHARE * totals["t"])).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("t"), "unit").limit(LEARNED)
+    return frozenset(bytes(r["unit"]) for r in found.collect())
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -219,8 +255,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
+        stems = by_length(own.learned)
         for batch in batches:
-            x = [features(t.as_py() or b"", own.learned) for t in batch.column("text").cast(pa.binary())]
+            x = [features(t.as_py() or b"", stems) for t in batch.column("text").cast(pa.binary())]
             out = own.scores(np.array(x, np.float64).reshape(-1, FEATURES))
             yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 
