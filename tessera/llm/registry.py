@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, exact_dedup, lang_id, packing, simhash, toxicity
+from tessera.llm import decontamination, exact_dedup, lang_id, packing, simhash, toxicity, url_filter
 
 QUERIES = {
     "op3_packing": packing.query,
     "op4_toxicity": toxicity.query,
     "op5_decontamination": decontamination.query,
+    "op6_url_filter": url_filter.query,
     "op7_simhash": simhash.query,
     "op8_exact_dedup": exact_dedup.query,
     "op10_lang_id": lang_id.query,
