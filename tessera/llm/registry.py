@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, exact_dedup, lang_id, packing, simhash, toxicity, url_filter
+from tessera.llm import decontamination, exact_dedup, lang_id, packing, pii, simhash, toxicity, url_filter
 
 QUERIES = {
     "op3_packing": packing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_url_filter": url_filter.query,
     "op7_simhash": simhash.query,
     "op8_exact_dedup": exact_dedup.query,
+    "op9_pii": pii.query,
     "op10_lang_id": lang_id.query,
 }
 SQL = {"op5_decontamination": decontamination.SQL, "op8_exact_dedup": exact_dedup.SQL}
