@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, exact_dedup, lang_id, packing, pii, simhash, substring_dedup, toxicity, url_filter
+from tessera.llm import decontamination, exact_dedup, lang_id, license_scan, packing, pii, simhash, substring_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_license_scan": license_scan.query,
     "op2_substring_dedup": substring_dedup.query,
     "op3_packing": packing.query,
     "op4_toxicity": toxicity.query,
