@@ -7,7 +7,7 @@ and 8 nodes) is all that is ever numbered in one place or brought to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.resolve import COMPATIBLE, owners, three_tiers
@@ -129,24 +129,19 @@ def dependencies(links: DataFrame, seed: str, depth: int = 2, kinds: list[str] |
     allowed = kinds or KINDS
     out = links.select(F.col("source").alias("at"), F.lit("outgoing").alias("direction"), F.concat(F.lit("outgoing_"), "kind").alias("edge_kind"), F.col("target").alias("node"))
     into = links.select(F.col("target").alias("at"), F.lit("incoming").alias("direction"), F.concat(F.lit("incoming_"), "kind").alias("edge_kind"), F.col("source").alias("node"))
-    steps = out.unionByName(into).filter(F.col("edge_kind").isin(allowed)).withColumn("place", kind_place())
+    moves = out.unionByName(into).filter(F.col("edge_kind").isin(allowed)).withColumn("place", kind_place())
     spark = links.sparkSession
-    frontier = spark.createDataFrame([(d, seed, [], []) for d in ("outgoing", "incoming")], "direction string, at string, trail array<string>, path array<string>")
+    frontier = spark.createDataFrame([(d, seed, [], []) for d in ("outgoing", "incoming")], "direction string, at string, trail array<string>, steps array<string>")
     found = None
     for hop in range(1, depth + 1):
         # A trail, compared element by element, orders arrivals: the parent's trail, then the edge's place and node.
         trail = F.concat("trail", F.array(F.concat(F.col("place").cast("string"), F.lit(":"), F.col("node"))))
-        path = F.concat("path", F.array(F.concat("edge_kind", F.lit(">"), F.col("node"))))
-        reached = steps.join(frontier, ["direction", "at"]).select("direction", "node", F.struct(trail.alias("trail"), path.alias("path")).alias("by"))
+        walked = F.concat("steps", F.array(F.concat("edge_kind", F.lit(">"), F.col("node"))))
+        reached = moves.join(frontier, ["direction", "at"]).select("direction", "node", F.struct(trail.alias("trail"), walked.alias("steps")).alias("by"))
         first = reached.groupBy("direction", "node").agg(F.min("by").alias("by"))
         if found is not None:
             first = first.join(found.select("direction", "node"), ["direction", "node"], "left_anti")
-        first = cut(first.select("direction", "node", F.lit(hop).alias("depth"), F.col("by.trail").alias("trail"), F.col("by.path").alias("path")), f"hop{hop}")
+        first = cut(first.select("direction", "node", F.lit(hop).alias("depth"), F.col("by.trail").alias("trail"), F.col("by.steps").alias("steps")), f"hop{hop}")
         found = first if found is None else found.unionByName(first)
-        frontier = first.select("direction", F.col("node").alias("at"), "trail", "path")
+        frontier = first.select("direction", F.col("node").alias("at"), "trail", "steps")
     return found.drop("trail")
-
-
-def ranked_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key in this order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")

@@ -277,7 +277,7 @@ def dependency_bfs(spark: SparkSession, d: str) -> DataFrame:
 
 @register("dependency_paths", hops("customer:1", 3) + " SELECT direction, node, depth, array_to_string(path, ' ') AS path FROM found")
 def dependency_paths(spark: SparkSession, d: str) -> DataFrame:
-    return followed(spark, d, "customer:1", 3).select("direction", "node", "depth", F.array_join("path", " ").alias("path"))
+    return followed(spark, d, "customer:1", 3).select("direction", "node", "depth", F.array_join("steps", " ").alias("path"))
 
 
 CALLS = ["incoming_call", "outgoing_call"]
