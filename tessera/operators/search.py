@@ -81,6 +81,6 @@ def breakdown(files: DataFrame, page: DataFrame, roots: list[str]) -> DataFrame:
     """Per root: files searched, distinct files on the page, rows on the page; selected roots without rows stay, with zeros."""
     searched = files.groupBy("root").agg(F.count(F.lit(1)).alias("searched_files"))
     found = page.groupBy("root").agg(F.count_distinct("path").alias("matched_files"), F.count(F.lit(1)).alias("returned_results"))
-    chosen = files.sparkSession.createDataFrame([(r,) for r in roots], "root string") if roots else files.select("root").distinct()
-    out = F.broadcast(chosen).join(searched, "root", "left").join(found, "root", "left")
+    chosen = F.broadcast(files.sparkSession.createDataFrame([(r,) for r in roots], "root string")) if roots else files.select("root").distinct()
+    out = chosen.join(searched, "root", "left").join(found, "root", "left")
     return out.select("root", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("searched_files", "matched_files", "returned_results")])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -159,8 +159,6 @@ def enclosing_owner(spark: SparkSession, d: str) -> DataFrame:
 
 @register("nearest_enclosing", """SELECT conv_id, turn, role, max(CASE WHEN role IN ('system', 'user') THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS scope_turn FROM conversations""")
 def nearest_enclosing(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     return B.table(spark, d, "conversations").select("conv_id", "turn", "role", F.max(F.when(F.col("role").isin("system", "user"), F.col("turn"))).over(before).alias("scope_turn"))
 
@@ -450,11 +448,11 @@ metrics AS (SELECT root, path, line, 1 + sum(is_branch::INT)::BIGINT AS cyclomat
 
 def metrics(spark: SparkSession, d: str) -> DataFrame:
     """Words of a line as nodes of a function; the branches before a word are those above it."""
-    marks = F.transform("words", lambda w: F.lower(w).isin(BRANCH).cast("int"))
-    each = B.lines(spark, d).withColumn("marks", marks)
-    nodes = each.select("root", "path", "line", F.posexplode("words").alias("place", "w"), "marks")
-    depth = F.aggregate(F.slice("marks", 1, F.col("place")), F.lit(0), lambda a, x: a + x)
-    nodes = nodes.select("root", "path", "line", F.lower("w").isin(BRANCH).alias("is_branch"), (F.col("w").endswith(".") | F.col("w").endswith(",")).alias("is_statement"), depth.alias("depth"))
+    each = B.lines(spark, d).select("root", "path", "line", F.posexplode("words").alias("place", "w"))
+    branch = F.lower("w").isin(BRANCH)
+    before = Window.partitionBy("root", "path", "line").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    depth = F.coalesce(F.sum(branch.cast("int")).over(before), F.lit(0))
+    nodes = each.select("root", "path", "line", branch.alias("is_branch"), (F.col("w").endswith(".") | F.col("w").endswith(",")).alias("is_statement"), depth.alias("depth"))
     return analysis.function_metrics(nodes.withColumn("at", F.col("line")), ["root", "path", "at"]).withColumn("line", F.col("at").cast("long")).drop("at")
 
 
