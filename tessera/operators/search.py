@@ -41,9 +41,9 @@ class Filters:
 
 def root_place(roots: list[str]) -> Column:
     """The place of a row's root among the configured ones; unknown roots come last."""
-    out = F.lit(len(roots))
+    out = F.lit(float(len(roots)))  # a whole number alone would be read as the number of a column
     for i, r in reversed(list(enumerate(roots))):
-        out = F.when(F.col("root") == r, i).otherwise(out)
+        out = F.when(F.col("root") == r, float(i)).otherwise(out)
     return out
 
 

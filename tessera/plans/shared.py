@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package known to the Python workers, wherever they run: once a context, as a zip that Spark hands out."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(context, "_tessera_shipped", False) or not root.is_dir():
+        return
+    path = os.path.realpath(os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera.zip"))
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    context.addPyFile(path)
+    context._tessera_shipped = True
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written and read back."""
     path = f"{shared_dir(df.sparkSession)}/tessera-{name}-{uuid.uuid4().hex}"

@@ -13,7 +13,7 @@ from tessera.sources.languages import languages
 
 #: Exclusions of every workspace (fixed values).
 EXCLUSIONS = ["node_modules", ".git", "dist", "build", "coverage", ".next", ".turbo", "out", "vendor", "vendors", "generated", "__generated__", "__pycache__", ".venv", "venv"]
-FILES = "root string, path string, mtime double, size long"
+FILES = "root string, path string, mtime double, size long, content string"
 
 
 class RequestError(ValueError):
@@ -24,13 +24,17 @@ class RequestError(ValueError):
         self.code = code
 
 
+def absolute(root: str) -> str:
+    return root.rstrip("/") if "://" in root else os.path.abspath(root)
+
+
 def resolve_roots(root: str | None = None, roots: list[str] | None = None) -> list[str]:
-    """Absolute roots in order, once each; one that is no folder is an error."""
-    out = list(dict.fromkeys(os.path.abspath(r) for r in ([root] if root else []) + list(roots or [])))
+    """Absolute roots in order, once each; one that is no folder is an error. URIs of stores stay as they are."""
+    out = list(dict.fromkeys(absolute(r) for r in ([root] if root else []) + list(roots or [])))
     if not out:
         raise RequestError("workspace_root_invalid", "a workspace needs a root")
     for r in out:
-        if not os.path.isdir(r):
+        if "://" not in r and not os.path.isdir(r):
             raise RequestError("workspace_root_invalid", f"{r} is no folder")
     return out
 
@@ -59,7 +63,7 @@ def prefix_of(prefix: str | None, roots: list[str]) -> str | None:
 
 def chosen_roots(wanted: list[str] | None, roots: list[str]) -> list[str]:
     """Roots of a request, checked against the workspace; none means all."""
-    out = list(dict.fromkeys(os.path.abspath(r) for r in wanted or [] if r.strip()))
+    out = list(dict.fromkeys(absolute(r) for r in wanted or [] if r.strip()))
     for r in out:
         if r not in roots:
             raise RequestError("workspace_root_invalid", f"{r} is no root of this workspace")
@@ -84,17 +88,22 @@ def listed(root: str, exclusions: list[str]) -> list[tuple[str, str, float, int]
 
 
 def discover(spark: SparkSession, roots: list[str], exclusions: list[str] | None = None) -> DataFrame:
-    """Files of local roots, in their order: root, path, mtime, size, language (null: unsupported) and reason."""
-    rows = [x for r in roots for x in listed(r, [*EXCLUSIONS, *(exclusions or [])])]
-    return with_language(spark.createDataFrame(rows, FILES))
+    """Files of all roots: root, path, mtime, size, content (null: a local file, read where it is parsed), language
+    (null: unsupported) and reason."""
+    skip = [*EXCLUSIONS, *(exclusions or [])]
+    out = spark.createDataFrame([(*x, None) for r in roots if "://" not in r for x in listed(r, skip)], FILES)
+    for uri in (r for r in roots if "://" in r):
+        out = out.unionByName(stored(spark, uri, skip))
+    return with_language(out)
 
 
-def discover_store(spark: SparkSession, uri: str, exclusions: list[str] | None = None) -> DataFrame:
-    """The same for a store that only Spark reads, with content; the listing and the filter are distributed."""
+def stored(spark: SparkSession, uri: str, exclusions: list[str]) -> DataFrame:
+    """Files of a store that only Spark reads, with their contents; listing, reading and filter are distributed."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri)
-    path = F.element_at(F.split(F.col("path"), F.lit(uri.rstrip("/").rsplit(":", 1)[-1].lstrip("/") + "/")), -1)
-    rows = found.select(F.lit(uri).alias("root"), path.alias("path"), (F.unix_micros("modificationTime") / 1000).alias("mtime"), F.col("length").alias("size"), F.decode("content", F.lit("UTF-8")).alias("content"))
-    return with_language(rows.filter(~excluded(F.col("path"), [*EXCLUSIONS, *(exclusions or [])])))
+    path = F.regexp_replace(F.element_at(F.split("path", "://?/?"), -1), "^/+", "")
+    below = F.substring(path, F.lit(len(uri.split("://", 1)[1].strip("/")) + 2), F.length(path))
+    rows = found.select(F.lit(uri).alias("root"), below.alias("path"), (F.unix_micros("modificationTime") / 1000).alias("mtime"), F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    return rows.filter(~excluded(F.col("path"), exclusions))
 
 
 def with_language(files: DataFrame) -> DataFrame:

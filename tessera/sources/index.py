@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.refresh import classify
-from tessera.plans.shared import written
+from tessera.plans.shared import ship, written
 from tessera.sources import frontends  # noqa: F401  (registers the frontends)
 from tessera.sources.languages import FRONTENDS
 
@@ -38,19 +38,24 @@ CHILDREN = {
 RECORD = T.StructType([T.StructField(c, S) for c in ("root", "path", "language", "hash", "failure")] + [T.StructField("mtime", T.DoubleType()), T.StructField("size", L)] + [T.StructField(c, k) for c, k in CHILDREN.items()])
 
 
+def read_text(root: str, path: str) -> str:
+    """A local file's text; the empty text if it cannot be read."""
+    try:
+        with open(f"{root}/{path}", "rb") as f:
+            return f.read().decode(errors="replace")
+    except OSError:
+        return ""
+
+
 def parse(files: DataFrame) -> DataFrame:
-    """Records of files (root, path, language, mtime, size, and content or a local path to read). A file that cannot be
-    read counts as empty; one that cannot be parsed has a failure and no rows; none fails the task."""
-    with_content = "content" in files.columns
+    """Records of files (root, path, language, mtime, size, content; null content: a local file to read). A file that
+    cannot be read counts as empty; one that cannot be parsed has a failure and no rows; none fails the task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for f in batch.to_dict("records"):
-                try:
-                    text = (f["content"] or "") if with_content else open(f"{f['root']}/{f['path']}", "rb").read().decode(errors="replace")
-                except OSError:
-                    text = ""
+                text = f["content"] if f["content"] is not None else read_text(f["root"], f["path"])
                 out = frontends.Parsed()
                 try:
                     out = FRONTENDS[f["language"]](text)
@@ -60,8 +65,8 @@ def parse(files: DataFrame) -> DataFrame:
                 rows.append(row | {c: getattr(out, c) if out.failure is None else [] for c in CHILDREN})
             yield pd.DataFrame(rows, columns=RECORD.names)
 
-    columns = ["root", "path", "language", "mtime", "size"] + ["content"] * with_content
-    return files.filter("language IS NOT NULL").select(*columns).mapInPandas(run, RECORD)
+    ship(files.sparkSession)
+    return files.filter("language IS NOT NULL").select("root", "path", "language", "mtime", "size", "content").mapInPandas(run, RECORD)
 
 
 def child(records: DataFrame, name: str) -> DataFrame:
@@ -109,22 +114,13 @@ class Store:
 
 def hashed(files: DataFrame) -> DataFrame:
     """root, path, mtime, size and the SHA-1 of the content of files; what cannot be read counts as empty."""
-    if "content" in files.columns:
-        return files.select("root", "path", "mtime", "size", F.sha1(F.coalesce("content", F.lit("")).cast("binary")).alias("hash"))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for root, path in zip(batch["root"], batch["path"], strict=True):
-                try:
-                    with open(f"{root}/{path}", "rb") as f:
-                        text = f.read().decode(errors="replace")
-                except OSError:
-                    text = ""
-                out.append(hashlib.sha1(text.encode(errors="replace")).hexdigest())
-            yield batch.assign(hash=out)
-
-    return files.select("root", "path", "mtime", "size").mapInPandas(run, "root string, path string, mtime double, size long, hash string")
+            texts = [c if c is not None else read_text(r, p) for r, p, c in zip(batch["root"], batch["path"], batch["content"], strict=True)]
+            yield batch.drop(columns="content").assign(hash=[hashlib.sha1(t.encode(errors="replace")).hexdigest() for t in texts])
+
+    ship(files.sparkSession)
+    return files.select("root", "path", "mtime", "size", "content").mapInPandas(run, "root string, path string, mtime double, size long, hash string")
 
 
 def refresh(store: Store, fingerprint: str, files: DataFrame) -> tuple[DataFrame, DataFrame | None, str]:

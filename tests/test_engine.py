@@ -120,3 +120,12 @@ def test_two_roots(spark, tmp_path):
         engine.search_definitions("greet", prefix="../x")
     with pytest.raises(RequestError):
         Engine(spark, f"file://{tmp_path}/other").files()
+
+
+def test_a_store_that_only_spark_reads(spark, tmp_path, root):
+    engine = Engine(spark, f"file://{tmp_path}/index")
+    uri = f"file://{root}"
+    engine.set_workspace(uri)
+    assert sorted(r["path"] for r in engine.files().collect()) == ["notes.txt", "src/broken.ts", "src/core.ts", "src/view.tsx"]
+    assert [r["name"] for r in engine.search_definitions("helper").rows.collect()] == ["helper"]
+    assert engine.records()[1]["freshness"] == "degraded"
