@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Keys with more rows than this are spread over SALTS tasks in salted_join.
 HOT_ROWS = 2000
 SALTS = 64
+#: Rows of an Arrow batch that a Python worker reads at once.
+BATCH = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +47,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of BATCH rows, so that a Python worker holds few texts at once; what a
+    partition took goes back to the system when it ends, as workers are kept for the next."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    return df.mapInArrow(lean, schema)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only; all-ASCII texts take the JVM's fast path."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_fold, table
+from tessera.llm.common import crc_fold, mapped, table
 
 DIM = 2048
 SYMBOLS = 64
@@ -37,7 +37,7 @@ SAMPLE = 40_000
 SEED = 20240
 #: Sharpness of the score: a softmax over cosines.
 SHARP = 20.0
-CHUNK = 4_000_000
+CHUNK = 250_000
 
 
 @cache
@@ -106,7 +106,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM) -> tuple[list[s
     rows = docs.filter(F.col("lang").isNotNull() & (crc_fold(F.col("doc_id"), 5) != 0))
     share = min(1.0, sample / max(1, rows.count()))
     chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    counts = chosen.select("lang", "text").mapInArrow(count_codes, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = mapped(chosen.select("lang", "text"), count_codes, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     found = counts.toArrow()
     if not found.num_rows:
         return None
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, columns
                 yield pa.record_batch([*part.columns[: len(columns)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
 
     schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return mapped(docs.select(*columns, F.col("text").alias("_text")), run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import mapped, table
 
 SAMPLE = 2_000
 LINES = 4_000
@@ -199,7 +199,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     schema = docs.select("doc_id").selectExpr("doc_id", *[f"0L AS {c}" for c in names[1:4]], "'' AS families", "0D AS score", "array(named_struct('place', 0L, 'family', '', 'score', 0D, 'confirmed', true)) AS paragraphs").schema
     for field in schema:
         field.nullable = True
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", "text"), run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

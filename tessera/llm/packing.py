@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import mapped, materialize, table
 
 LENGTH = 1024
 END = 2
 BLOCK = 32_768
 #: Steps of the local search in a block; what is left then stays as it is, packed but not improved.
 STEPS = 4_000
-WORDS_HELD = 300_000
+WORDS_HELD = 100_000
 
 #: The pre-tokenizer's pattern for texts of Latin letters, in the standard library's syntax; LATIN_NOT tells the other texts.
 LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
@@ -106,7 +106,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, end: int = END, with_ids: bool
     schema = docs.select("doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", "text"), run, schema)
 
 
 def best_fit(lengths: list[int], capacity: int = LENGTH) -> list[list[int]]:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import table
+from tessera.llm.common import mapped, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -256,7 +256,7 @@ def scan(docs: DataFrame) -> DataFrame:
     schema = docs.select("doc_id").schema
     for name in names[1:]:
         schema = schema.add(name, "long" if name.startswith("n_") else "string")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", "text"), run, schema)
 
 
 def redact(text: str | None) -> str | None:

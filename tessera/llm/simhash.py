@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, salted_join, table
+from tessera.llm.common import mapped, materialize, salted_join, table
 
 SHINGLE = 3
 DISTANCE = 2
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             texts = batch.column("text").cast(pa.binary())
             yield pa.record_batch([batch.column("doc_id"), pa.array([fingerprint(t.as_py() or b"") for t in texts], pa.int64())], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("fp", "long"))
+    return mapped(docs.select("doc_id", "text"), run, docs.select("doc_id").schema.add("fp", "long"))
 
 
 def signed(x: int) -> int:
@@ -201,7 +201,7 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
         fine = F.when(F.col("kind") == i, own).otherwise(fine)
     split = keyed.join(hot, ["kind", "key"], "left_semi").select("fp", F.inline(fine))
     dealt = cold.select("kind", "key", "fp").unionByName(split.select("kind", "key", "fp"))
-    return dealt.repartition("kind", "key").sortWithinPartitions("kind", "key").mapInArrow(link, "fp long, other long").distinct()
+    return mapped(dealt.repartition("kind", "key").sortWithinPartitions("kind", "key"), link, "fp long, other long").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:

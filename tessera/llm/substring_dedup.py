@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import mapped, materialize, table
 
 GEAR = 16
 REACH = 3
@@ -97,7 +97,7 @@ def chunked(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)], ["doc_id", "parts"])
 
     schema = docs.select("doc_id").withColumn("parts", F.array().cast("array<struct<digest:bigint,start:int,after:int,words:int>>")).schema
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", "text"), run, schema)
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     names = ["rid", "doc_id", "start", "after", "n_words", "keep_doc_id", "n_removed", "cuts"]
     cut = pa.list_(pa.struct([("start", pa.int32()), ("after", pa.int32())]))
     types = [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.int64(), pa.int32(), cut]
-    return marked(docs).mapInArrow(run, "rid long, doc_id long, start int, after int, n_words int, keep_doc_id long, n_removed int, cuts array<struct<start:int,after:int>>")
+    return mapped(marked(docs), run, "rid long, doc_id long, start int, after int, n_words int, keep_doc_id long, n_removed int, cuts array<struct<start:int,after:int>>")
 
 
 def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -163,7 +163,7 @@ def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
             columns = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string()), "n_cut": pa.array(n, pa.int32())}
             yield pa.record_batch(list(columns.values()), list(columns))
 
-    return docs.join(cuts, "doc_id", "left").select(*docs.columns, "_cuts").mapInArrow(run, docs.schema.add("n_cut", "integer"))
+    return mapped(docs.join(cuts, "doc_id", "left").select(*docs.columns, "_cuts"), run, docs.schema.add("n_cut", "integer"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_fold, materialize, table
+from tessera.llm.common import crc_fold, mapped, materialize, table
 
 SAMPLE = 30_000
 LEARNED = 300
@@ -108,7 +108,7 @@ def featured(rows: DataFrame, columns: list[str], learned: frozenset[bytes]) ->
             x = [features(t.as_py() or b"", stems) for t in batch.column("_text").cast(pa.binary())]
             yield pa.record_batch([*[batch.column(c) for c in columns], pa.array(x, pa.list_(pa.float64()))], [*columns, "x"])
 
-    return rows.select(*columns, F.col("text").alias("_text")).mapInArrow(run, rows.select(*columns).withColumn("x", F.array().cast("array<double>")).schema)
+    return mapped(rows.select(*columns, F.col("text").alias("_text")), run, rows.select(*columns).withColumn("x", F.array().cast("array<double>")).schema)
 
 
 class Trees:
@@ -229,7 +229,7 @@ def learn_words(rows: DataFrame) -> frozenset[bytes]:
     totals = rows.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     if not totals["n"] or not totals["t"] or totals["t"] == totals["n"]:
         return frozenset()
-    counts = rows.select("text", "toxic").mapInArrow(count_units, "unit binary, t long, n long").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    counts = mapped(rows.select("text", "toxic"), count_units, "unit binary, t long, n long").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     odds = ((F.col("t") + 0.5) / (totals["t"] + 1)) / ((F.col("n") - F.col("t") + 0.5) / (totals["n"] - totals["t"] + 1))
     found = counts.filter(F.col("t") >= max(LEAST_TEXTS, LEAST_SHARE * totals["t"])).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("t"), "unit").limit(LEARNED)
     return frozenset(bytes(r["unit"]) for r in found.collect())
@@ -261,7 +261,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             out = own.scores(np.array(x, np.float64).reshape(-1, FEATURES))
             yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("score", "double"))
+    out = mapped(docs.select("doc_id", "text"), run, docs.select("doc_id").schema.add("score", "double"))
     return out.select("doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
