@@ -11,9 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.shared import ship
+
 #: Keys with more rows than this are spread over SALTS tasks in salted_join.
 HOT_ROWS = 2000
 SALTS = 64
+#: What materialize() wrote.
+WRITTEN: list[str] = []
 #: Rows of an Arrow batch that a Python worker reads at once.
 BATCH = 1000
 
@@ -39,10 +43,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there, losing an executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Deletes what materialize() wrote in this process; results that were not saved yet must not be read after it."""
+    for path in WRITTEN:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    WRITTEN.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -56,6 +69,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         pa.default_memory_pool().release_unused()
         ctypes.CDLL(None).malloc_trim(0)
 
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     return df.mapInArrow(lean, schema)
 

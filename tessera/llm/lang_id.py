@@ -146,10 +146,10 @@ def scorer(names: list[str], products: np.ndarray, dim: int = DIM):
     return score
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, columns: list[str]) -> DataFrame:
-    """`columns` of docs with lang_pred and score."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, columns: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`columns` of docs with the language and its score, under these names."""
     if model is None:
-        return docs.select(*columns, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*columns, F.lit("und").alias(names[0]), F.lit(0.0).alias(names[1]))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +158,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, columns
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
                 langs, scores = score(part.column(len(columns)).to_pylist())
-                yield pa.record_batch([*part.columns[: len(columns)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
+                yield pa.record_batch([*part.columns[: len(columns)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*columns, *names])
 
-    schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*columns).schema.add(names[0], "string").add(names[1], "double")
     return mapped(docs.select(*columns, F.col("text").alias("_text")), run, schema)
 
 
@@ -173,7 +173,7 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents with an identified language; those without one (null texts, no letters) go."""
     columns = docs.columns
-    return predict(docs, learn(docs), columns).filter("lang_pred <> 'und'").select(*columns)
+    return predict(docs, learn(docs), columns, ("_language", "_certainty")).filter("_language <> 'und'").select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
