@@ -4,7 +4,7 @@ A document is its byte-level BPE ids and an end id; only one longer than a seque
 first piece that may be shorter. Full pieces are sequences already. The others are dealt by hash into blocks of about
 BLOCK pieces (30 bytes each, so a task holds a few MB whatever the data), and each block is packed by itself:
 
-1. best fit, longest piece first, on a bit set of the free lengths;
+1. best fit, longest piece first, each bin filled exactly by up to three more pieces where there are such;
 2. local search between underfull bins, least full first: move a piece, exchange one for one, or two for one, whenever
    the sum of squared fills grows; a bin whose last piece leaves is gone.
 
@@ -37,6 +37,8 @@ BLOCK = 32_768
 #: Steps of the local search in a block; what is left then stays as it is, packed but not improved.
 STEPS = 4_000
 WORDS_HELD = 100_000
+#: Lengths that are tried as the first of three that fill a bin.
+TRIED = 40
 
 #: The pre-tokenizer's pattern for texts of Latin letters, in the standard library's syntax; LATIN_NOT tells the other texts.
 LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
@@ -110,24 +112,44 @@ def pieces(docs: DataFrame, length: int = LENGTH, end: int = END, with_ids: bool
 
 
 def best_fit(lengths: list[int], capacity: int = LENGTH) -> list[list[int]]:
-    """Bins of indices into lengths: longest first, each into the fullest bin that takes it."""
+    """Bins of indices into lengths: the longest piece left, then those that fill its bin best: one, two or three that
+    fill it exactly, else the longest that fits, and so on."""
+    count = np.bincount(np.array(lengths, np.int64), minlength=capacity + 1)
+    stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i in range(len(lengths) - 1, -1, -1):
+        stacks[lengths[i]].append(i)
+
+    def two(room: int) -> list[int]:
+        """Two lengths that make up room exactly, as near to each other as there are."""
+        low = np.flatnonzero(count[: room // 2 + 1])
+        fits = (count[room - low] > 0) & ((2 * low != room) | (count[low] > 1))
+        return [room - int(low[fits][-1]), int(low[fits][-1])] if fits.any() else []
+
+    def fill(room: int) -> list[int]:
+        if count[room]:
+            return [room]
+        if pair := two(room):
+            return pair
+        there = np.flatnonzero(count[:room])
+        for n in there[: -TRIED - 1 : -1].tolist():
+            count[n] -= 1
+            pair = two(room - n)
+            count[n] += 1
+            if pair:
+                return [n, *pair]
+        return [int(there[-1])] if len(there) else []
+
     bins: list[list[int]] = []
-    free_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
-    free = 0  # bit r: a bin with r free places
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        n = lengths[i]
-        if fits := free >> n:
-            room = n + (fits & -fits).bit_length() - 1
-            b = free_bins[room].pop()
-            if not free_bins[room]:
-                free ^= 1 << room
-            bins[b].append(i)
-        else:
-            room, b = capacity, len(bins)
-            bins.append([i])
-        if left := room - n:
-            free_bins[left].append(b)
-            free |= 1 << left
+    for longest in range(capacity, 0, -1):
+        while count[longest]:
+            own, room, took = [], capacity, [longest]
+            while took:
+                for n in took:
+                    count[n] -= 1
+                    own.append(stacks[n].pop())
+                    room -= n
+                took = fill(room) if room else []
+            bins.append(own)
     return bins
 
 
