@@ -10,8 +10,8 @@ Chunks that occur in another document too and follow each other form a repeated
 alone. A passage of over 50 words that occurs twice contains whole chunks of well over LEAST words. Digests have 64
 bits: a span takes several equal ones in a row, so one accidental collision repeats nothing.
 
-Chunks are counted by digest with partial sums, so a passage in a third of all documents is a row a task; the join
-that marks chunks is split where it is skewed (spark.sql.adaptive.skewJoin); a document's chunks meet only their own.
+Chunks are counted by digest with partial sums, so a passage in a third of all documents is a row a task; the places
+of such chunks are marked where they are, without a shuffle; a document's chunks meet only their own.
 
 Cases: a null text counts as empty and has no chunk. Null doc_ids come after all others in who keeps a chunk; repeated
 rows are documents like others, but with one doc_id each keeps its first chunk. Words are runs of bytes above 0x20.
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mapped, materialize, table
+from tessera.llm.common import HOT_ROWS, mapped, materialize, table
 
 GEAR = 16
 REACH = 3
@@ -104,8 +104,13 @@ def marked(docs: DataFrame) -> DataFrame:
     """Per row with a chunk that another row has too: rid, doc_id, and parts: array of (place, start, after, words, keeper) of those."""
     each = materialize(chunked(docs).withColumn("rid", F.monotonically_increasing_id()), "chunks")
     parts = each.select("rid", "doc_id", F.posexplode("parts").alias("place", "part")).select("rid", "doc_id", "place", "part.*")
-    seen = parts.groupBy("digest").agg(F.min("rid").alias("one"), F.max("rid").alias("other"), F.min(F.coalesce("doc_id", F.lit(LAST))).alias("keeper"))
-    again = parts.join(seen.filter("one <> other").select("digest", "keeper"), "digest")
+    seen = parts.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("one"), F.max("rid").alias("other"), F.min(F.coalesce("doc_id", F.lit(LAST))).alias("keeper"))
+    seen = materialize(seen.filter("one <> other").select("digest", "n", "keeper"), "seen")
+    # Chunks of more than HOT_ROWS places, of which there are few, meet their rows where these are (Spark broadcasts them
+    # as long as the table is as small as it allows), so that no task gathers one; the others are shuffled.
+    hot = materialize(seen.filter(F.col("n") > HOT_ROWS).select("digest", "keeper"), "hot")
+    cold = parts.join(hot, "digest", "left_anti").join(seen.filter(F.col("n") <= HOT_ROWS).select("digest", "keeper"), "digest")
+    again = parts.join(hot, "digest").select(cold.columns).unionByName(cold)
     own = F.array_sort(F.collect_list(F.struct("place", "digest", "start", "after", "words", "keeper")))
     return again.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), own.alias("parts"))
 
@@ -163,7 +168,7 @@ def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
             columns = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string()), "n_cut": pa.array(n, pa.int32())}
             yield pa.record_batch(list(columns.values()), list(columns))
 
-    return mapped(docs.join(cuts, "doc_id", "left").select(*docs.columns, "_cuts"), run, docs.schema.add("n_cut", "integer"))
+    return mapped(docs.join(cuts, "doc_id", "left").select(*docs.columns, "_cuts"), run, docs.select("*").schema.add("n_cut", "integer"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
