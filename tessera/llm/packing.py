@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from zlib import crc32
@@ -36,7 +38,7 @@ END = 2
 BLOCK = 32_768
 #: Steps of the local search in a block; what is left then stays as it is, packed but not improved.
 STEPS = 4_000
-WORDS_HELD = 100_000
+WORDS_HELD = 80_000
 #: Lengths that are tried as the first of three that fill a bin.
 TRIED = 40
 
@@ -56,18 +58,28 @@ def encoding(name: str = "byte_bpe_50k.tiktoken"):
 
 
 class Words(dict):
-    """The ids of a word as little-endian bytes; filled as words come, emptied when WORDS_HELD are held."""
+    """The ids of a word as little-endian bytes, filled as words come. When WORDS_HELD are held they become the old
+    ones, from which those that come again return; the old ones before are dropped."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
+        out = self.old.pop(word, None)
+        if out is None:
+            # A word is one piece of the pre-tokenizer, so its pattern need not run again.
+            out = array("I", encoding()._encode_single_piece(word)).tobytes()
         if len(self) >= WORDS_HELD:
+            self.old = dict(self)
             self.clear()
-        out = np.asarray(encoding().encode_ordinary(word), "<u4").tobytes()
         self[word] = out
         return out
 
 
 @cache
 def words() -> Words:
+    assert sys.byteorder == "little" and array("I").itemsize == 4
     return Words()
 
 
