@@ -1,18 +1,26 @@
 """Licence scans: a paragraph classifier over word n-grams, confirmed by comparison with templates.
 
-Paragraphs are the lines of a text. A softmax regression over the 1- to 3-grams of the templates' words (n-grams of
+Paragraphs are the lines of a text, and notices that are wrapped over lines. A softmax regression over the 1- to 3-grams of the templates' words (n-grams of
 common words alone left out, small weights pruned) gives each paragraph a licence family or `unknown`. It is trained
 here on the templates with words dropped, put in and cut off, against ordinary paragraphs: lines of at most SAMPLE
 documents, chosen by the hash of their text, and the templates' own words out of order. A temperature fitted on
 examples held out calibrates it; a family needs THRESHOLD. The prediction is confirmed if a template of that family
 has SHARED of its shingles (SHINGLE words; shorter templates: all their words as one) in the paragraph.
 
+Wrapped notices are looked for in the joined words of consecutive lines that are not blank: least stretches that hold
+SHARED of a template's shingles, joined where they overlap up to twice the shortest, are classified and confirmed like
+lines (line breaks and the signs of comments are no words). One that is confirmed takes the place of what its lines gave for its family, or
+unconfirmed. n_paragraphs counts lines alone. Lines of which half the shingles are a template's, parts of wrapped
+notices, are no ordinary paragraphs to learn from.
+
 Cases: a null text counts as empty: no paragraph, no family. Blank lines are no paragraphs. Repeated rows are returned
 each; null doc_ids are kept; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,6 +105,12 @@ class Model:
         vocabulary = sorted({g for _, w in templates for g in grams(w)})
         self.column = {g: i for i, g in enumerate(vocabulary)}
         self.content = frozenset(w for _, t in templates for w in t) - COMMON
+        # By template: its content words, how many of them a text may lack, its shingles, their size and how many it needs.
+        self.wrapped = []
+        for _, s, n in self.shingles:
+            need = math.ceil(SHARED * len(s))
+            own = frozenset(w for x in s for w in x.split()) - COMMON
+            self.wrapped.append((own, len(own) - len(s) + need, s, min(n, SHINGLE), need))
         rng = np.random.default_rng(11)
         noise = [w for t in negatives for w in words(t)[:40]] or [b"text"]
         some = lambda n: [noise[i] for i in rng.integers(len(noise), size=n)]
@@ -113,7 +127,9 @@ class Model:
                 mixed = [w[i] for i in rng.permutation(len(w))[: rng.integers(1, max(2, len(w) // 2))]]
                 rows.append(some(rng.integers(0, 30)) + mixed + some(rng.integers(0, 30)))
                 y.append(0)
+        parts = frozenset().union(*(s for _, s, _ in self.shingles))
         known = [t for t in negatives if not any(len(s & shingles(words(t))) >= SHARED * len(s) for _, s, _ in self.shingles)]
+        known = [t for t in known if 2 * len(parts & (own := shingles(words(t)))) < len(own)]
         rows += [words(t) for t in known]
         y += [0] * len(known)
         x = np.zeros((len(rows), len(vocabulary)), np.float32)
@@ -158,6 +174,55 @@ class Model:
         hold = lambda s, n: len(s & there) if n >= SHINGLE else sum(b" " + x + b" " in padded for x in s)
         return k, float(p[k]), any(hold(s, n) >= SHARED * len(s) for f, s, n in self.shingles if f == k)
 
+    def notices(self, own: list[bytes], lines: list[int]) -> list[tuple[int, int]]:
+        """Stretches (first and after, in words) of consecutive lines' words that hold SHARED of a template's shingles and
+        lie in several lines; lines has the line of each word."""
+        there = frozenset(own)
+        found = []
+        for content, least, s, size, need in self.wrapped:
+            if len(content & there) < least:
+                continue
+            held: deque[tuple[int, bytes]] = deque()
+            count: Counter[bytes] = Counter()
+            for i in range(len(own) - size + 1):
+                if (x := b" ".join(own[i : i + size])) not in s:
+                    continue
+                held.append((i, x))
+                count[x] += 1
+                while count[held[0][1]] > 1 or len(count) > need:
+                    y = held.popleft()[1]
+                    count[y] -= 1
+                    if not count[y]:
+                        del count[y]
+                if len(count) == need and lines[held[0][0]] < lines[i + size - 1]:
+                    found.append((held[0][0], i + size))
+        taken: list[tuple[int, int, int]] = []
+        holder = [0] * len(own)
+        for a, b in sorted(found, key=lambda x: (x[1] - x[0], x[0])):
+            met = {*holder[a:b]} - {0}
+            if not met:
+                taken.append((a, b, 2 * (b - a)))
+                met = {len(taken)}
+            k = min(met)
+            first, after, most = taken[k - 1]
+            first, after = min(a, first), max(b, after)
+            if len(met) == 1 and after - first <= most:
+                taken[k - 1] = first, after, most
+                holder[a:b] = [k] * (b - a)
+        return sorted((a, b) for a, b, _ in taken)
+
+    def joined(self, found: list[dict], block: list[list[bytes]], place: int) -> list[dict]:
+        """found, what lines gave, with the wrapped notices of a block of lines, the first of which is at `place`."""
+        own = [w for line in block for w in line]
+        lines = [place + i for i, line in enumerate(block) for _ in line]
+        for a, b in self.notices(own, lines):
+            k, p, sure = self.paragraph(own[a:b])
+            if sure:
+                first, last, family = lines[a], lines[b - 1], self.families[k]
+                found = [f for f in found if not (first <= f["place"] <= last and (f["family"] == family or not f["confirmed"]))]
+                found.append({"place": first, "family": family, "score": p, "confirmed": True})
+        return sorted(found, key=lambda f: f["place"])
+
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """The model, with lines of at most `sample` documents as ordinary paragraphs."""
@@ -170,7 +235,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """Per row of docs: doc_id, n_paragraphs, n_predicted, n_confirmed, families (confirmed, comma-joined), score (the
-    greatest probability of a family, 0 without one) and paragraphs: (place, family, score, confirmed) of those predicted."""
+    greatest probability of a family, 0 without one) and paragraphs: (place, of the first line, family, score, confirmed) of those predicted."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,10 +245,15 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
             rows = []
             for t in batch.column("text").cast(pa.binary()):
                 n, found = 0, []
-                for line in (t.as_py() or b"").translate(PLAIN).split(b"\n"):
+                block: list[list[bytes]] = []
+                for line in [*(t.as_py() or b"").translate(PLAIN).split(b"\n"), b""]:
                     w = line.split()
                     if not w:
+                        if len(block) > 1:
+                            found = own.joined(found, block, n - len(block))
+                        block = []
                         continue
+                    block.append(w)
                     if not content.isdisjoint(w):
                         k, p, sure = own.paragraph(w)
                         if k:

@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -148,6 +149,24 @@ def test_licences_of_documents(documents, texts, licences):
         assert {i for i, t in texts.items() if word in t} == {i for i, f in got.items() if family in f.split(",")}
 
 
+@pytest.mark.parametrize("sign", ["", " * ", "# "])
+@pytest.mark.parametrize("family", ["mit", "gpl", "agpl", "lgpl", "bsd", "isc", "cc0", "apache"])
+def test_wrapped_notices(spark, licences, family, sign):
+    rest = ", either version 3 of the License, or (at your option) any later version." if "gpl" in family else ""
+    notice = license_scan.TEMPLATES[family][-1] + rest
+    texts = ["\n".join(["import it", *textwrap.wrap(notice, width, initial_indent=sign, subsequent_indent=sign), "int main() {}", "", "behind"]) for width in (40, 72, 78)]
+    got = license_scan.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), licences).collect()
+    for r in got:
+        assert r["families"] == family and r["n_confirmed"] == 1 and r["paragraphs"][0]["place"] == 1
+        assert r["n_paragraphs"] == len([x for x in texts[r["doc_id"]].split("\n") if x])
+
+
+def test_wrapped_notices_lie_in_consecutive_lines(licences):
+    notice = license_scan.words(license_scan.TEMPLATES["mit"][-1].encode())
+    assert licences.notices([b"x", *notice, b"x"], [0] * 10 + [1] * (len(notice) - 8)) == [(1, len(notice) + 1)]
+    assert licences.notices(notice, [0] * len(notice)) == [] and licences.notices(notice[:15], [0] * 7 + [1] * 8) == []
+
+
 def test_licence_odd_rows(odd, none, licences):
     got = license_scan.scan(odd, licences).collect()
     assert len(got) == odd.count() and {r["n_paragraphs"] for r in got if r["doc_id"] in (3, 4)} == {0}
