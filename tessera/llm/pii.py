@@ -3,8 +3,8 @@
 Base patterns (leftmost, not overlapping, per kind): e-mail, IP (parts at most 255), card (12 to 19 digits that pass
 Luhn) and phone (from a plus sign, 9 to 15 digits). They stay whatever the field says.
 
-The field's tokens are the candidates of a document: base matches, and runs of digits and their separators (brackets,
-dots, hyphens, blanks, a plus) with 7 digits or more that no base match touches; runs of over 15 digits fall into the
+The field's tokens are the candidates of a document: base matches, and, in the text between these, runs of digits and
+their separators (brackets, dots, hyphens, blanks, a plus) with 7 digits or more; runs of over 15 digits fall into the
 phone forms, card forms and plain numbers that stand side by side in them. Labels: other, email, ip, card, phone. A token's
 potentials come from its shape and the words beside it; neighbours in the text are linked; and so are distant tokens
 with the same digits, or the same last 7 (skip links): linked tokens share potentials through loopy message passing, so that a
@@ -119,19 +119,18 @@ def shape(span: str, before: str) -> np.ndarray:
 
 
 def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, label or -1 if open): base matches, and loose numbers apart from them, in order of start."""
+    """(start, end, label or -1 if open): base matches, and loose numbers between them, in order of start."""
     out = [(s, e, LABELS.index(k)) for s, k, e in base]
     taken = sorted((s, e) for s, e, _ in out)
-    k, reach = 0, 0
-    for m in LOOSE.finditer(text):
-        s, e = m.span()
-        while k < len(taken) and taken[k][0] < e:
-            reach = max(reach, taken[k][1])
-            k += 1
-        if reach > s or (n := len(digits_of(m[0]))) < LEAST_DIGITS:
-            continue
-        parts = [(s + x.start(), s + x.end(), -1) for x in PARTS.finditer(m[0])] if n > LONGEST else []
-        out += parts or [(s, e, -1)]
+    at = 0
+    for start, after in [*taken, (len(text), len(text))]:
+        for m in LOOSE.finditer(text, at, start):
+            s, e = m.span()
+            if (n := len(digits_of(m[0]))) < LEAST_DIGITS:
+                continue
+            parts = [(s + x.start(), s + x.end(), -1) for x in PARTS.finditer(m[0])] if n > LONGEST else []
+            out += parts or [(s, e, -1)]
+        at = max(at, after)
     return sorted(out)
 
 

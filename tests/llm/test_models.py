@@ -116,6 +116,14 @@ def test_the_field_adds_what_stands_side_by_side_or_repeats():
     assert pii.redact("mail a@b.cd now") == "mail <email> now"
 
 
+@pytest.mark.parametrize("base", ["card 4111 1111 1111 1111", "10.0.0.1", "+49 170 1234567,", "me@example.com"])
+def test_numbers_beside_base_matches_stay_candidates(base):
+    for text in (f"{base} (555) 123-4567", f"(555) 123-4567 {base}"):
+        at = text.index("(555)")
+        known, spans = pii.find(text)
+        assert len(known) == 1 and spans == sorted([*known, (at, "phone", at + 14)])
+
+
 def test_pii_odd_rows(odd, none):
     got = pii.scan(odd).collect()
     assert len(got) == odd.count() and all(r["spans"] == "" and r["n_card"] == 0 for r in got)
