@@ -6,8 +6,9 @@ on nothing but the bytes near them: an insertion shifts chunks but changes only
 REACH + 1 words or longer, 2 * REACH + 1 in the mean. They are deduplicated by digest; of equal chunks that of the
 smallest doc_id stays (in a document, the first).
 
-Chunks that occur in another document too and follow each other form a repeated span; spans of fewer than LEAST words are left
-alone. A passage of over 50 words that occurs twice contains whole chunks of well over LEAST words. Digests have 64
+Chunks that occur again, in another document or in their own, and follow each other form a repeated span; spans of
+fewer than LEAST words are left alone. spans() counts repeats inside one document only if asked to (`within`); the query
+and deduplicate() do. A passage of over 50 words that occurs twice contains whole chunks of well over LEAST words. Digests have 64
 bits: a span takes several equal ones in a row, so one accidental collision repeats nothing.
 
 Chunks are counted by digest with partial sums, so a passage in a third of all documents is a row a task; the places
@@ -100,12 +101,13 @@ def chunked(docs: DataFrame) -> DataFrame:
     return mapped(docs.select("doc_id", "text"), run, schema)
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """Per row with a chunk that another row has too: rid, doc_id, and parts: array of (place, start, after, words, keeper) of those."""
+def marked(docs: DataFrame, within: bool = False) -> DataFrame:
+    """Per row with a chunk that another row has too, or with `within` the row itself again: rid, doc_id, and parts: array
+    of (place, digest, start, after, words, keeper) of those."""
     each = materialize(chunked(docs).withColumn("rid", F.monotonically_increasing_id()), "chunks")
     parts = each.select("rid", "doc_id", F.posexplode("parts").alias("place", "part")).select("rid", "doc_id", "place", "part.*")
     seen = parts.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("one"), F.max("rid").alias("other"), F.min(F.coalesce("doc_id", F.lit(LAST))).alias("keeper"))
-    seen = materialize(seen.filter("one <> other").select("digest", "n", "keeper"), "seen")
+    seen = materialize(seen.filter("n > 1" if within else "one <> other").select("digest", "n", "keeper"), "seen")
     # Chunks of more than HOT_ROWS places, of which there are few, meet their rows where these are (Spark broadcasts them
     # as long as the table is as small as it allows), so that no task gathers one; the others are shuffled.
     hot = materialize(seen.filter(F.col("n") > HOT_ROWS).select("digest", "keeper"), "hot")
@@ -115,9 +117,9 @@ def marked(docs: DataFrame) -> DataFrame:
     return again.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), own.alias("parts"))
 
 
-def spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """One row a repeated span: doc_id, start and after (bytes of the text in UTF-8), n_words, keep_doc_id (the smallest
-    that keeps a part of it), n_removed (words that go) and cuts (the byte ranges that go)."""
+def spans(docs: DataFrame, least: int = LEAST, within: bool = False) -> DataFrame:
+    """One row a span repeated in other documents, with `within` in its own too: doc_id, start and
+    after (bytes of the text in UTF-8), n_words, keep_doc_id (the smallest that keeps a part of it), n_removed (words that go) and cuts (the byte ranges that go)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,13 +150,13 @@ def spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     names = ["rid", "doc_id", "start", "after", "n_words", "keep_doc_id", "n_removed", "cuts"]
     cut = pa.list_(pa.struct([("start", pa.int32()), ("after", pa.int32())]))
     types = [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.int64(), pa.int32(), cut]
-    return mapped(marked(docs), run, "rid long, doc_id long, start int, after int, n_words int, keep_doc_id long, n_removed int, cuts array<struct<start:int,after:int>>")
+    return mapped(marked(docs, within), run, "rid long, doc_id long, start int, after int, n_words int, keep_doc_id long, n_removed int, cuts array<struct<start:int,after:int>>")
 
 
 def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs with the repeated chunks cut out of their texts, and n_cut: how many."""
     names = docs.columns
-    cuts = spans(docs, least).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("cuts"))).alias("_cuts"))
+    cuts = spans(docs, least, within=True).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("cuts"))).alias("_cuts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,4 +174,4 @@ def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans(table(spark, sf_dir, "documents")).select("doc_id", "start", "after", "n_words", "keep_doc_id", "n_removed")
+    return spans(table(spark, sf_dir, "documents"), within=True).select("doc_id", "start", "after", "n_words", "keep_doc_id", "n_removed")

@@ -209,3 +209,15 @@ def test_substring_odd_rows(odd, none, spark):
     out = {r["doc_id"]: r["text"] for r in substring_dedup.deduplicate(frame).collect()}
     assert out[1] == text and out[2].startswith("before it") and len(out[2]) < 200 and out[3] == "something else"
     assert hashlib.sha256(out[1].encode()).hexdigest() == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_passages_repeated_inside_one_document(spark, monkeypatch):
+    block = " ".join(f"word{i}" for i in range(200))
+    text = f"before it {' '.join([block] * 50)} behind"
+    frame = spark.createDataFrame([(1, text), (2, "something else")], "doc_id long, text string")
+    assert substring_dedup.spans(frame).count() == 0
+    monkeypatch.setattr(substring_dedup, "table", lambda *_: frame)
+    (row,) = substring_dedup.query(spark, "").collect()
+    assert row["doc_id"] == row["keep_doc_id"] == 1 and row["n_removed"] >= 48 * 200
+    out = {r["doc_id"]: r["text"] for r in substring_dedup.deduplicate(frame).collect()}
+    assert out[1].startswith(f"before it {block}") and len(out[1].split()) <= 2 * 200 + 3 and out[2] == "something else"
