@@ -74,6 +74,26 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(lean, schema)
 
 
+def without(docs: DataFrame, judged: DataFrame, name: str, keyed: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """docs without the rows that are judged gone: judged has doc_id, key and gone of every row, alike where the first two
+    are; keyed(rows, column) adds the key to rows of docs.
+
+    The ids that go are written first: few as a rule, so that the texts need not be shuffled to drop them. Keys are only
+    made for ids (null is one) of which some rows go and others stay.
+    """
+    judged = materialize(judged.select("doc_id", "key", "gone"), name)
+    ids = judged.groupBy("doc_id").agg(F.bool_and("gone").alias("whole"), F.bool_or("gone").alias("some"))
+    ids = materialize(ids.filter("some").select(F.col("doc_id").alias("_gone_id"), "whole"), f"{name}-ids")
+    out = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_gone_id"]), "left_anti")
+    mixed = ids.filter("NOT whole").select("_gone_id")
+    if mixed.isEmpty():
+        return out
+    own = keyed(docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_gone_id"]), "left_semi"), "_judged_key")
+    gone = judged.filter("gone").select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct()
+    stay = own.join(gone, own["doc_id"].eqNullSafe(gone["_gone_id"]) & (own["_judged_key"] == gone["_gone_key"]), "left_anti")
+    return out.unionByName(stay.select(*docs.columns))
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only; all-ASCII texts take the JVM's fast path."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

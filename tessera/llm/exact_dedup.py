@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import materialize, salted_join, table
+from tessera.llm.common import materialize, salted_join, table, without
 
 CAPACITY = 100_000
 MAX_DEPTH = 16
@@ -98,12 +98,9 @@ def groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns.
-
-    The ids that go are written first: few as a rule, so that the texts need not be shuffled to drop them.
-    """
-    gone = materialize(groups(docs).filter("NOT kept").select("doc_id").distinct(), "copies")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """The rows that stay, with their columns; a doc_id with several texts loses those alone that are copies."""
+    judged = groups(docs).select("doc_id", F.col("text_sha256").alias("key"), (~F.col("kept")).alias("gone"))
+    return without(docs, judged, "copies", lambda rows, key: rows.withColumn(key, F.sha2(normalised(F.col("text")), 256)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

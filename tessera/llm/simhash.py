@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mapped, materialize, salted_join, table
+from tessera.llm.common import mapped, materialize, salted_join, table, without
 
 SHINGLE = 3
 DISTANCE = 2
@@ -235,9 +235,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, that of the smallest doc_id, with all its columns."""
-    gone = materialize(near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "near")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component stays, that of the smallest doc_id, with all its columns: exactly the rows whose
+    doc_id is the component's. Rows without a doc_id stay only where their whole component has none, then all of them."""
+
+    def keyed(rows: DataFrame, key: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = [f"{fingerprint(t.as_py() or b'') % (1 << 64):016x}" for t in batch.column("text").cast(pa.binary())]
+                yield pa.record_batch([*batch.columns, pa.array(own, pa.string())], [*batch.schema.names, key])
+
+        return mapped(rows, run, rows.select("*").schema.add(key, "string"))
+
+    judged = near_duplicates(docs).select("doc_id", F.col("fingerprint").alias("key"), (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("gone"))
+    return without(docs, judged, "near", keyed)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,16 @@ def test_exact_odd_rows(odd, none):
     assert exact_dedup.groups(none).count() == 0 and exact_dedup.deduplicate(none).count() == 0
 
 
+def test_only_the_rows_judged_go(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in ("alpha", "beta", "gamma"))
+    rows = [(1, a), (3, a), (3, b), (None, a), (None, c), (None, c), (4, f"{b} "), (5, b)]
+    frame = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int")
+    exact = exact_dedup.deduplicate(frame)
+    assert exact.columns == frame.columns and sorted(r["place"] for r in exact.collect()) == [0, 2, 4, 5, 6]
+    near = simhash.keep_one(frame)
+    assert near.columns == frame.columns and sorted(r["place"] for r in near.collect()) == [0, 2, 4, 5]
+
+
 def test_salted_join_meets_hot_and_cold_keys(spark, monkeypatch):
     monkeypatch.setattr("tessera.llm.common.HOT_ROWS", 3)
     left = spark.createDataFrame([(i, "a" if i < 20 else "b" if i < 22 else "c") for i in range(23)], "i long, k string")
