@@ -171,9 +171,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents with an identified language; those without one (null texts, no letters) go."""
+    """The documents with a letter; the others (null texts too) have no language and go. So it is without a model, when no
+    row can be learned from: a model of one language stands in."""
     columns = docs.columns
-    return predict(docs, learn(docs), columns, ("_language", "_certainty")).filter("_language <> 'und'").select(*columns)
+    model = learn(docs) or (["any"], np.zeros((CODES, 1), np.float32))
+    return predict(docs, model, columns, ("_language", "_certainty")).filter("_language <> 'und'").select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

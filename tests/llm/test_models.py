@@ -39,6 +39,12 @@ def test_language_odd_rows(odd, none, documents):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 3
 
 
+def test_texts_stay_if_no_language_can_be_learned(odd):
+    unknown = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = lang_id.keep_identified(unknown)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 5, 5, 7]
+
+
 # --- toxicity ---
 
 
