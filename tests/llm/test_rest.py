@@ -163,3 +163,12 @@ def test_pipeline_stages_by_brute_force(spark, sf_dir, documents):
     assert ids(before) - ids(after) == ids(decontamination.contamination(before, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated"))
     packed = corpus_pipeline.run(spark, sf_dir)
     assert ids(packed) == ids(docs)
+
+
+def test_all_pruned_rules_decide(spark, sf_dir, monkeypatch):
+    labelled = spark.createDataFrame([([f"t{i % 2100}"], "block") for i in range(4200)], "tokens array<string>, verdict string")
+    assert url_filter.mine(labelled, support=0.0004).count() == 2100
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    want = sorted(map(str, url_filter.judge(pages).collect()))
+    monkeypatch.setattr(url_filter, "MAX_RULES", 1)
+    assert sorted(map(str, url_filter.judge(pages).collect())) == want
