@@ -1,76 +1,48 @@
-"""What several corpus operators share: the shared folder, fixed splits and a join that survives hot keys."""
+"""What several corpus operators share: written tables, batches for Python workers, fixed splits, dropping rows."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.shared import ship
+from tessera.plans.shared import drop, forget, salted_join, ship  # noqa: F401
+from tessera.plans.shared import written as materialize
 
-#: Keys with more rows than this are spread over SALTS tasks in salted_join.
-HOT_ROWS = 2000
-SALTS = 64
-#: What materialize() wrote.
-WRITTEN: list[str] = []
-#: Rows of an Arrow batch that a Python worker reads at once.
-BATCH = 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where that is unset (tests on one machine) a folder of our own is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    spark.sparkContext.setCheckpointDir(own)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends there, losing an executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    WRITTEN.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession) -> None:
-    """Deletes what materialize() wrote in this process; results that were not saved yet must not be read after it."""
-    for path in WRITTEN:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    WRITTEN.clear()
+#: A Python worker works on so many rows at once, and on so many bytes if they are more than one row. Spark itself hands
+#: over batches of 64 MB at most.
+BATCH, BATCH_BYTES = 1_000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most BATCH rows and about BATCH_BYTES bytes; a row is never split."""
+    n = batch.num_rows
+    step = max(1, min(BATCH, BATCH_BYTES * n // max(1, batch.nbytes)))
+    for i in range(0, max(n, 1), step):
+        part = batch.slice(i, step)
+        if part.num_rows > 1 and part.nbytes > 2 * BATCH_BYTES:  # long texts side by side
+            yield from (part.slice(k, 1) for k in range(part.num_rows))
+        else:
+            yield part
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow(run, schema) in batches of BATCH rows, so that a Python worker holds few texts at once; what a
-    partition took goes back to the system when it ends, as workers are kept for the next."""
+    """df.mapInArrow(run, schema), with batches that bound what a Python worker holds at once; what a partition took goes
+    back to the system when it ends, as workers are kept for the next."""
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(part for batch in batches for part in sliced(batch))
         pa.default_memory_pool().release_unused()
         ctypes.CDLL(None).malloc_trim(0)
 
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     return df.mapInArrow(lean, schema)
 
 
@@ -103,20 +75,3 @@ def lower_ascii(text: Column) -> Column:
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
-
-
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> DataFrame:
-    """left JOIN right ON keys, where right has one row a key and its column `rows` tells how many rows of left have that key.
-
-    Keys with more than HOT_ROWS rows get SALTS copies on the right, so that a key with a third of all rows
-    meets SALTS tasks. At most len(left) / HOT_ROWS keys are hot, so the copies stay below 4 % of left.
-    """
-    extra = [c for c in right.columns if c not in keys]
-    hot = right.filter(F.col(rows) > HOT_ROWS).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    cold = right.filter(F.col(rows) <= HOT_ROWS).withColumn("_salt", F.lit(-1))
-    side = lambda df, p: df.select(*keys, "_salt", *[F.col(c).alias(p + c) for c in extra], F.lit(True).alias(p + "met"))
-    out = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
-    out = out.join(side(hot, "_h_"), [*keys, "_salt"], "left")
-    # Rows that met a hot key keep their salt and so stay spread; the others look for a cold key.
-    out = out.withColumn("_salt", F.when(F.col("_h_met"), F.col("_salt")).otherwise(F.lit(-1))).join(side(cold, "_c_"), [*keys, "_salt"], "left")
-    return out.select(*left.columns, *[F.coalesce(F.col(f"_h_{c}"), F.col(f"_c_{c}")).alias(c) for c in extra])

@@ -3,8 +3,10 @@
 A gear hash (h = 2h + table[byte]) rolls over the bytes; at the end of each word its value over the last GEAR bytes
 stands. A word end is a boundary if its value is the least of the REACH word ends on either side, so boundaries depend
 on nothing but the bytes near them: an insertion shifts chunks but changes only those that it touches. Chunks are
-REACH + 1 words or longer, 2 * REACH + 1 in the mean. They are deduplicated by digest; of equal chunks that of the
-smallest doc_id stays (in a document, the first).
+REACH + 1 words or longer but for the last of a text, 2 * REACH + 1 in the mean. Where words repeat with a period of
+REACH or less no value is the least alone; such a stretch, if it is longer than LONG words, is cut at word ends that share
+the least value, STEP words or more apart, so its chunks too depend on its bytes alone. Chunks are deduplicated by digest;
+of equal chunks that of the smallest doc_id stays (in a document, the first).
 
 Chunks that occur again, in another document or in their own, and follow each other form a repeated span; spans of
 fewer than LEAST words are left alone. spans() counts repeats inside one document only if asked to (`within`); the query
@@ -14,9 +16,10 @@ bits: a span takes several equal ones in a row, so one accidental collision repe
 Chunks are counted by digest with partial sums, so a passage in a third of all documents is a row a task; the places
 of such chunks are marked where they are, without a shuffle; a document's chunks meet only their own.
 
-Cases: a null text counts as empty and has no chunk. Null doc_ids come after all others in who keeps a chunk; repeated
-rows are documents like others, but with one doc_id each keeps its first chunk. Words are runs of bytes above 0x20.
-Empty tables give empty results; other columns are not read.
+Cases: a null text counts as empty and has no chunk. Null doc_ids come after all others in who keeps a chunk; rows that
+share a doc_id, with equal or different texts, are documents like others, each cut by its own spans, but of the chunks
+that their doc_id keeps each keeps its first. Words are runs of bytes above 0x20. deduplicate() returns each row with its
+columns; a column n_cut that was there is replaced. Empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,13 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import HOT_ROWS, mapped, materialize, table
+from tessera.llm.common import mapped, materialize, salted_join, table
 
 GEAR = 16
 REACH = 3
 LEAST = 16
-#: Chunks of more than LONG words are cut into pieces of PIECE words: they repeat themselves, so their pieces are equal.
-LONG, PIECE = 32, 8
+#: Chunks of more than LONG words repeat themselves; they are cut at shared least values STEP words apart or more, a
+#: multiple of all periods up to REACH.
+LONG, STEP = 32, 6
 #: Documents without a doc_id come last in who keeps a chunk.
 LAST = (1 << 63) - 1
 TABLE = np.random.default_rng(99).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -71,14 +75,26 @@ def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep = first <= last
     first, last = first[keep], last[keep]
     if (last - first >= LONG).any():  # text without a least value, such as one word again and again
-        cuts = [np.arange(f, z + 1, PIECE) if z - f >= LONG else [f] for f, z in zip(first.tolist(), last.tolist(), strict=True)]
-        first = np.concatenate(cuts)
-        last = np.append(first[1:] - 1, last[-1])
+        shared = np.ones(len(h), bool)
+        for k in range(1, REACH + 1):
+            shared[k:] &= h[k:] <= h[:-k]
+            shared[:-k] &= h[:-k] <= h[k:]
+        ends_: list[int] = []
+        for f, z in zip(first.tolist(), last.tolist(), strict=True):
+            if z - f >= LONG:
+                at = f
+                for i in (f + np.flatnonzero(shared[f:z])).tolist():
+                    if i - at >= STEP:
+                        ends_.append(i)
+                        at = i
+            ends_.append(z)
+        last = np.array(ends_)
+        first = np.append(first[0], last[:-1] + 1)
     return starts[first], ends[last] + 1, last - first + 1
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, and parts: array of (digest, start, after, words) in order."""
+def chunked(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Per row of docs: columns, and parts: array of (digest, start, after, words) in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -95,30 +111,27 @@ def chunked(docs: DataFrame) -> DataFrame:
                     sizes.append(sizes[-1] + len(c[0]))
                 flat = [np.concatenate(x).astype(np.int32) for x in zip(*found, strict=True)]
                 values = pa.StructArray.from_arrays([pa.array(np.array(digests, np.uint64).view(np.int64)), *map(pa.array, flat)], ["digest", "start", "after", "words"])
-                yield pa.record_batch([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)], ["doc_id", "parts"])
+                yield pa.record_batch([*[part.column(c) for c in columns], pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)], [*columns, "parts"])
 
-    schema = docs.select("doc_id").withColumn("parts", F.array().cast("array<struct<digest:bigint,start:int,after:int,words:int>>")).schema
-    return mapped(docs.select("doc_id", "text"), run, schema)
+    schema = docs.select(*columns).withColumn("parts", F.array().cast("array<struct<digest:bigint,start:int,after:int,words:int>>")).schema
+    return mapped(docs.select(*columns, "text"), run, schema)
 
 
-def marked(docs: DataFrame, within: bool = False) -> DataFrame:
-    """Per row with a chunk that another row has too, or with `within` the row itself again: rid, doc_id, and parts: array
-    of (place, digest, start, after, words, keeper) of those."""
-    each = materialize(chunked(docs).withColumn("rid", F.monotonically_increasing_id()), "chunks")
+def marked(docs: DataFrame, within: bool = False, rid: str | None = None) -> DataFrame:
+    """Per row with a chunk that another row has too, or with `within` the row itself again: rid (the column of this name,
+    else a number of its own), doc_id, and parts: array of (place, digest, start, after, words, keeper) of those."""
+    found = chunked(docs, ["doc_id", rid]).withColumnRenamed(rid, "rid") if rid else chunked(docs, ["doc_id"]).withColumn("rid", F.monotonically_increasing_id())
+    each = materialize(found, "chunks")
     parts = each.select("rid", "doc_id", F.posexplode("parts").alias("place", "part")).select("rid", "doc_id", "place", "part.*")
     seen = parts.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("one"), F.max("rid").alias("other"), F.min(F.coalesce("doc_id", F.lit(LAST))).alias("keeper"))
     seen = materialize(seen.filter("n > 1" if within else "one <> other").select("digest", "n", "keeper"), "seen")
-    # Chunks of more than HOT_ROWS places, of which there are few, meet their rows where these are (Spark broadcasts them
-    # as long as the table is as small as it allows), so that no task gathers one; the others are shuffled.
-    hot = materialize(seen.filter(F.col("n") > HOT_ROWS).select("digest", "keeper"), "hot")
-    cold = parts.join(hot, "digest", "left_anti").join(seen.filter(F.col("n") <= HOT_ROWS).select("digest", "keeper"), "digest")
-    again = parts.join(hot, "digest").select(cold.columns).unionByName(cold)
+    again = salted_join(parts, seen, ["digest"], "n").filter("keeper IS NOT NULL").drop("n")
     own = F.array_sort(F.collect_list(F.struct("place", "digest", "start", "after", "words", "keeper")))
     return again.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), own.alias("parts"))
 
 
-def spans(docs: DataFrame, least: int = LEAST, within: bool = False) -> DataFrame:
-    """One row a span repeated in other documents, with `within` in its own too: doc_id, start and
+def spans(docs: DataFrame, least: int = LEAST, within: bool = False, rid: str | None = None) -> DataFrame:
+    """One row a span repeated in other documents, with `within` in its own too: rid, doc_id, start and
     after (bytes of the text in UTF-8), n_words, keep_doc_id (the smallest that keeps a part of it), n_removed (words that go) and cuts (the byte ranges that go)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,27 +163,31 @@ def spans(docs: DataFrame, least: int = LEAST, within: bool = False) -> DataFram
     names = ["rid", "doc_id", "start", "after", "n_words", "keep_doc_id", "n_removed", "cuts"]
     cut = pa.list_(pa.struct([("start", pa.int32()), ("after", pa.int32())]))
     types = [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.int64(), pa.int32(), cut]
-    return mapped(marked(docs, within), run, "rid long, doc_id long, start int, after int, n_words int, keep_doc_id long, n_removed int, cuts array<struct<start:int,after:int>>")
+    return mapped(marked(docs, within, rid), run, "rid long, doc_id long, start int, after int, n_words int, keep_doc_id long, n_removed int, cuts array<struct<start:int,after:int>>")
 
 
 def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs with the repeated chunks cut out of their texts, and n_cut: how many."""
-    names = docs.columns
-    cuts = spans(docs, least, within=True).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("cuts"))).alias("_cuts"))
+    """docs with the repeated chunks cut out of their texts, row by row, and n_cut: how many."""
+    names = [c for c in docs.columns if c != "n_cut"]
+    rows = materialize(docs.select(*names, F.monotonically_increasing_id().alias("_tessera_rid")), "texts")
+    cuts = spans(rows, least, within=True, rid="_tessera_rid").groupBy(F.col("rid").alias("_tessera_rid")).agg(F.array_sort(F.flatten(F.collect_list("cuts"))).alias("_tessera_cuts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n = [], []
-            for text, own in zip(batch.column("text").to_pylist(), batch.column("_cuts").to_pylist(), strict=True):
-                data = (text or "").encode()
-                for c in sorted(own or [], key=lambda c: -c["start"]):
-                    data = data[: c["start"]] + data[c["after"] :]
-                texts.append(None if text is None else data.decode())
+            for text, own in zip(batch.column("text").to_pylist(), batch.column("_tessera_cuts").to_pylist(), strict=True):
+                if own:
+                    data, at, kept = text.encode(), 0, []
+                    for c in own:
+                        kept.append(data[at : c["start"]])
+                        at = c["after"]
+                    text = b"".join([*kept, data[at:]]).decode()
+                texts.append(text)
                 n.append(len(own or []))
             columns = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string()), "n_cut": pa.array(n, pa.int32())}
             yield pa.record_batch(list(columns.values()), list(columns))
 
-    return mapped(docs.join(cuts, "doc_id", "left").select(*docs.columns, "_cuts"), run, docs.select("*").schema.add("n_cut", "integer"))
+    return mapped(rows.join(cuts, "_tessera_rid", "left").select(*names, "_tessera_cuts"), run, docs.select(*names).schema.add("n_cut", "integer"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

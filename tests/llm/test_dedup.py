@@ -7,9 +7,9 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, simhash, substring_dedup
-from tessera.llm.common import salted_join
 
 
 # --- exact ---
@@ -19,8 +19,38 @@ def test_exact_agrees_with_sql(documents, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     want = sorted(con.execute(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({exact_dedup.SQL})").fetchall())
-    got = exact_dedup.groups(documents, capacity=10, max_depth=8)
-    assert sorted(tuple(r) for r in got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()) == want
+    for hashed in (F.xxhash64, lambda x: F.xxhash64(x) % 7, lambda x: F.lit(-5).cast("long")):  # the last two collide
+        got = exact_dedup.groups(documents, 10, 8, hashed)
+        assert sorted(tuple(r) for r in got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()) == want
+
+
+@pytest.mark.parametrize("hot", [2_000, 3])
+def test_index_chains_what_collides(spark, documents, texts, monkeypatch, hot):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", hot)
+    hashed = lambda x: F.xxhash64(x) % 7 * (1 << 58)
+    index, held, depth = exact_dedup.build_index(documents, exact_dedup.keyed(documents, hashed), 1, 4, hashed)
+    rows, slots = index.collect(), held.collect()
+    distinct = {re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in texts.values()}
+    assert 0 < depth <= 4 and len(slots) == 1 << depth and len({r["digest"] for r in rows}) == len(rows) == len(distinct)
+    chains = defaultdict(list)
+    for r in rows:
+        chains[r["hash"]].append(r["chain"])
+        assert next(s["bucket"] for s in slots if s["slot"] == r["hash"] % (1 << 64) >> (64 - depth)) == r["bucket"]
+    assert len(chains) > 7 and all(sorted(c) == list(range(len(c))) for c in chains.values()) and max(map(len, chains.values())) > 5
+
+
+def test_a_registered_run_doubles_the_directory(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    _, held, depth = exact_dedup.build_index(docs, exact_dedup.keyed(docs))
+    assert depth > 0 and held.count() == 1 << depth
+
+
+def test_owners_hold_ranges_of_buckets():
+    rows = {i: 10 + i % 3 for i in range(256)}
+    held = exact_dedup.owners_of(exact_dedup.directory(rows, 50, 8), rows, 7, 8)
+    owners = [o for *_, o in held]
+    assert owners == sorted(owners) and set(owners) == set(range(7))
+    assert exact_dedup.owners_of([(0, 0, 0)], {}, 4, 8) == [(0, 0, 0, 0)]
 
 
 def test_directory_doubles_only_where_it_must():
@@ -49,14 +79,6 @@ def test_only_the_rows_judged_go(spark):
     assert near.columns == frame.columns and sorted(r["place"] for r in near.collect()) == [0, 2, 4, 5]
 
 
-def test_salted_join_meets_hot_and_cold_keys(spark, monkeypatch):
-    monkeypatch.setattr("tessera.llm.common.HOT_ROWS", 3)
-    left = spark.createDataFrame([(i, "a" if i < 20 else "b" if i < 22 else "c") for i in range(23)], "i long, k string")
-    right = spark.createDataFrame([("a", 20, 1), ("b", 2, 2)], "k string, n long, v long")
-    got = {r["i"]: r["v"] for r in salted_join(left, right, ["k"], "n").collect()}
-    assert got == {i: 1 if i < 20 else 2 if i < 22 else None for i in range(23)}
-
-
 # --- near ---
 
 
@@ -188,6 +210,55 @@ def test_passages_of_over_fifty_words_share_chunks(texts):
     assert caught >= 0.99 * 300
 
 
+def brute_chunks(text):
+    """By definition, word by word."""
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x00-\x20]+", text)]
+    h = []
+    for _, e in words:
+        x = 0
+        for b in text[max(0, e - 16) : e]:
+            x = (2 * x + int(substring_dedup.TABLE[b])) % (1 << 32)
+        h.append(x)
+    n, r = len(h), substring_dedup.REACH
+    out, first = [], 0
+    for i in range(n):
+        least = r <= i < n - r and all(h[i] < h[i - k] and h[i] <= h[i + k] for k in range(1, r + 1))
+        if least or i == n - 1:
+            out.append((words[first][0], words[i][1], i - first + 1))
+            first = i + 1
+    return out
+
+
+def test_chunks_by_definition(texts):
+    for text in [t.encode() for t in texts.values() if t and len(t) < 5000]:
+        assert [tuple(map(int, c)) for c in zip(*substring_dedup.chunks(text), strict=True)] == brute_chunks(text) or max(n for *_, n in brute_chunks(text)) > substring_dedup.LONG
+
+
+def test_the_query_by_brute_force(spark, sf_dir, texts):
+    each = {i: [(int(s), int(e), int(n), t.encode()[s:e]) for s, e, n in zip(*substring_dedup.chunks(t.encode()), strict=True)] for i, t in texts.items()}
+    where = defaultdict(list)
+    for i in sorted(each):
+        for c in each[i]:
+            where[c[3]].append(i)
+    want = []
+    for i, own in each.items():
+        met, run = set(), []
+        for part in [*own, None]:
+            if part and len(where[part[3]]) > 1:
+                run.append(part)
+                continue
+            if sum(p[2] for p in run) >= substring_dedup.LEAST:
+                removed = 0
+                for p in run:
+                    if where[p[3]][0] == i and p[3] not in met:
+                        met.add(p[3])
+                    else:
+                        removed += p[2]
+                want.append((i, run[0][0], run[-1][1], sum(p[2] for p in run), min(where[p[3]][0] for p in run), removed))
+            run = []
+    assert sorted(tuple(r) for r in substring_dedup.query(spark, sf_dir).collect()) == sorted(want)
+
+
 def test_spans_by_brute_force(documents, texts):
     got = {(r["doc_id"], r["start"], r["after"]) for r in substring_dedup.spans(documents).collect()}
     each = {i: [(s, e, n, t.encode()[s:e]) for s, e, n in zip(*(x.tolist() for x in substring_dedup.chunks(t.encode())), strict=True)] for i, t in texts.items()}
@@ -221,6 +292,28 @@ def test_substring_odd_rows(odd, none, spark):
     assert hashlib.sha256(out[1].encode()).hexdigest() == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_rows_that_share_an_id_are_cut_by_their_own_spans(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text), (2, f"before {text}"), (2, f"\u00e9\u00e9\u00e9 {text} b\u00e9hind"), (None, f"before {text}"), (None, "another"), (2, None), (None, text)]
+    frame = spark.createDataFrame([(*r, i, -1, "x") for i, r in enumerate(rows)], "doc_id long, text string, place int, n_cut int, _cuts string")
+    out = substring_dedup.deduplicate(frame)
+    assert out.columns == ["doc_id", "text", "place", "_cuts", "n_cut"]
+    got = {r["place"]: r for r in out.collect()}
+    assert got[0]["text"] == text and got[4]["text"] == "another" and got[5]["text"] is None and got[5]["n_cut"] == got[0]["n_cut"] == 0
+    for i in (1, 2, 3, 6):
+        assert got[i]["n_cut"] > 0 and 0 <= len(got[i]["text"].split()) < 30 and (got[i]["doc_id"], i) == (rows[i][0], i)
+    assert got[1]["text"].startswith("before") and got[2]["text"].startswith("\u00e9\u00e9\u00e9") and got[2]["text"].rstrip().endswith("b\u00e9hind")
+
+
+@pytest.mark.parametrize("words", [["a"], ["a", "b"], ["one", "two", "three"], ["p", "q", "r", "s"]])
+def test_an_insertion_into_repeated_words_shifts_nothing(words):
+    run = (words * 100)[:300]
+    data = " ".join(run).encode()
+    both = [{d[s:e] for s, e, _ in zip(*substring_dedup.chunks(d), strict=True)} for d in (data, " ".join([*run[:101], "put in", *run[101:]]).encode())]
+    sizes = [n for _, _, n in zip(*substring_dedup.chunks(data), strict=True)]
+    assert max(sizes) <= substring_dedup.LONG and len(both[0] & both[1]) >= len(both[0]) - 3
+
+
 def test_passages_repeated_inside_one_document(spark, monkeypatch):
     block = " ".join(f"word{i}" for i in range(200))
     text = f"before it {' '.join([block] * 50)} behind"
