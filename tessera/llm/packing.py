@@ -4,9 +4,11 @@ A document is its byte-level BPE ids and an end id; only one longer than a seque
 first piece that may be shorter. Full pieces are sequences already. The others are dealt by hash into blocks of about
 BLOCK pieces (30 bytes each, so a task holds a few MB whatever the data), and each block is packed by itself:
 
-1. best fit, longest piece first, each bin filled exactly by up to three more pieces where there are such;
-2. local search between underfull bins, least full first: move a piece, exchange one for one, or two for one, whenever
-   the sum of squared fills grows; a bin whose last piece leaves is gone.
+1. best fit: a bin takes the longest piece that is left, then again and again the one that fits its room best, the
+   longest that does not exceed it;
+2. local search between underfull bins, least full first: move pieces, exchange one for one, or two for one, whenever the
+   sum of squared fills grows, those first that fill the other bin wholly; a bin whose last piece leaves is gone. It ends
+   when no exchange of any bin improves anything, or when the bins are as few as their sum allows.
 
 A block costs less than one sequence over packing all at once, 1 in some 10,000 at BLOCK.
 
@@ -17,6 +19,7 @@ each. An empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 import sys
 from array import array
@@ -36,11 +39,7 @@ from tessera.llm.common import mapped, materialize, table
 LENGTH = 1024
 END = 2
 BLOCK = 32_768
-#: Steps of the local search in a block; what is left then stays as it is, packed but not improved.
-STEPS = 4_000
 WORDS_HELD = 80_000
-#: Lengths that are tried as the first of three that fill a bin.
-TRIED = 40
 
 #: The pre-tokenizer's pattern for texts of Latin letters, in the standard library's syntax; LATIN_NOT tells the other texts.
 LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
@@ -124,92 +123,122 @@ def pieces(docs: DataFrame, length: int = LENGTH, end: int = END, with_ids: bool
 
 
 def best_fit(lengths: list[int], capacity: int = LENGTH) -> list[list[int]]:
-    """Bins of indices into lengths: the longest piece left, then those that fill its bin best: one, two or three that
-    fill it exactly, else the longest that fits, and so on."""
-    count = np.bincount(np.array(lengths, np.int64), minlength=capacity + 1)
+    """Bins of indices into lengths: each takes the longest piece left, then those that fit its room best."""
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
+    there = 0  # bit n: a piece of length n is left
     for i in range(len(lengths) - 1, -1, -1):
         stacks[lengths[i]].append(i)
-
-    def two(room: int) -> list[int]:
-        """Two lengths that make up room exactly, as near to each other as there are."""
-        low = np.flatnonzero(count[: room // 2 + 1])
-        fits = (count[room - low] > 0) & ((2 * low != room) | (count[low] > 1))
-        return [room - int(low[fits][-1]), int(low[fits][-1])] if fits.any() else []
-
-    def fill(room: int) -> list[int]:
-        if count[room]:
-            return [room]
-        if pair := two(room):
-            return pair
-        there = np.flatnonzero(count[:room])
-        for n in there[: -TRIED - 1 : -1].tolist():
-            count[n] -= 1
-            pair = two(room - n)
-            count[n] += 1
-            if pair:
-                return [n, *pair]
-        return [int(there[-1])] if len(there) else []
-
+        there |= 1 << lengths[i]
     bins: list[list[int]] = []
-    for longest in range(capacity, 0, -1):
-        while count[longest]:
-            own, room, took = [], capacity, [longest]
-            while took:
-                for n in took:
-                    count[n] -= 1
-                    own.append(stacks[n].pop())
-                    room -= n
-                took = fill(room) if room else []
-            bins.append(own)
+    while there:
+        own, room = [], capacity
+        while fits := there & ((2 << room) - 1):
+            n = fits.bit_length() - 1
+            own.append(stacks[n].pop())
+            room -= n
+            if not stacks[n]:
+                there &= ~(1 << n)
+        bins.append(own)
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int = LENGTH, steps: int = STEPS) -> list[list[int]]:
-    """Local search between underfull bins; bins without pieces are left out."""
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    under = [b for b in range(len(bins)) if fill[b] < capacity]
-    if len(under) < 2 or sum(fill[b] for b in under) > (len(under) - 1) * capacity:
-        return bins  # even if full, as many bins would be needed
-    owner = np.array([b for b in under for _ in bins[b]] + under)  # last, a place without a piece in each bin: a move
-    item = np.array([i for b in under for i in bins[b]] + [-1] * len(under))
-    size = np.array([lengths[i] for b in under for i in bins[b]] + [0] * len(under))
-    level = np.array(fill)
-    gone: set[int] = set()
-    queue = sorted(under, key=lambda b: fill[b])
-    while queue and steps > 0:
-        a = queue.pop(0)
-        while bins[a] and steps > 0:
-            steps -= 1
-            own = bins[a]
-            parts = [(i,) for i in own] + [(i, j) for k, i in enumerate(own) for j in own[k + 1 :]]
-            best, found = 0, None
-            room = capacity - level[owner]
-            for part in parts:
-                grow = sum(lengths[i] for i in part) - size
-                # Bin b gains `grow`, bin a loses it: the squares grow by 2 * grow * (level_b + grow - level_a).
-                gain = np.where((grow > 0) & (grow <= room) & (owner != a), grow * (level[owner] + grow - level[a]), 0)
-                k = int(gain.argmax())
-                if gain[k] > best:
-                    best, found = int(gain[k]), (part, k, int(grow[k]))
-            if not found:
-                break
-            part, k, grow = found
-            b, other = int(owner[k]), int(item[k])
-            for i in part:
-                bins[a].remove(i)
-                bins[b].append(i)
-                owner[np.flatnonzero(item == i)[0]] = b
-            if other >= 0:
-                bins[b].remove(other)
-                bins[a].append(other)
-                owner[k] = a
-            level[a] -= grow
-            level[b] += grow
-            if not bins[a]:
-                gone.add(a)
-                keep = ~((owner == a) & (item == -1))
-                owner, item, size = owner[keep], item[keep], size[keep]
+class Underfull:
+    """Bins with room, found by their room and the lengths they hold; length 0 stands for no piece and is in each."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.count = np.zeros((capacity + 1) ** 2, np.int32)  # bins by room * (capacity + 1) + length
+        self.where: dict[int, dict[int, None]] = {}
+        self.known = np.zeros(0, np.int64)
+
+    def add(self, b: int, room: int, held: set[int], one: int = 1) -> None:
+        for n in {0, *held}:
+            key = room * (self.capacity + 1) + n
+            self.count[key] += one
+            if one < 0:
+                del self.where[key][b]
+            else:
+                self.where.setdefault(key, {})[b] = None
+
+    def remove(self, b: int, room: int, held: set[int]) -> None:
+        self.add(b, room, held, -1)
+
+    def best(self, parts: list[int], level: int) -> tuple[int, int, int] | None:
+        """The exchange of a part (a sum of lengths) from a bin of this level for a piece of another bin, or for none, that
+        raises the sum of squared fills most: among those that fill the other bin if there are such. Part, bin, piece."""
+        wide = self.capacity + 1
+        room, found = 0, None
+        for p in parts:
+            # Rooms 1 to p, each with the length p - room that must come back.
+            exact = np.flatnonzero(self.count[wide + p - 1 : p * wide + 1 : self.capacity])
+            if len(exact) and exact[-1] + 1 > room:
+                room = int(exact[-1]) + 1
+                found = p, room * wide + p - room, p - room
+        if found is None:
+            if len(self.known) < len(self.where):
+                self.known = np.fromiter(self.where, np.int64, len(self.where))
+            keys = self.known[self.count[self.known] > 0]
+            rooms, backs = keys // wide, keys % wide
+            most = 0
+            for p in parts:
+                grow = p - backs
+                gain = np.where((grow > 0) & (grow <= rooms), grow * (self.capacity - rooms + grow - level), 0)
+                k = int(gain.argmax()) if len(gain) else 0
+                if len(gain) and gain[k] > most:
+                    most, found = int(gain[k]), (p, int(keys[k]), int(backs[k]))
+        return found and (found[0], next(iter(self.where[found[1]])), found[2])
+
+
+def improve(bins: list[list[int]], lengths: list[int], capacity: int = LENGTH) -> list[list[int]]:
+    """Local search between underfull bins until no exchange improves anything; bins without pieces are left out."""
+    level = [sum(lengths[i] for i in b) for b in bins]
+    sizes = lambda b: {lengths[i] for i in bins[b]}
+    under = {b for b in range(len(bins)) if level[b] < capacity}
+    held = Underfull(capacity)
+    for b in under:
+        held.add(b, capacity - level[b], sizes(b))
+    fewest, left = -(-sum(level) // capacity), len(bins)
+    steps, tried = 0, {}  # steps so far, and those when a bin was last found to have no exchange
+    while left > fewest:
+        before = steps
+        queue = [(level[b], b) for b in under]
+        heapq.heapify(queue)
+        while queue and left > fewest:
+            fill, a = heapq.heappop(queue)
+            if a not in under or level[a] != fill or tried.get(a) == steps:
+                continue
+            held.remove(a, capacity - level[a], sizes(a))
+            while bins[a]:
+                own = bins[a]
+                parts = {lengths[i] + lengths[j]: (i, j) for k, i in enumerate(own) for j in own[k + 1 :]}
+                parts = {n: x for n, x in parts.items() if n <= capacity} | {lengths[i]: (i,) for i in own}
+                found = held.best(list(parts), level[a])
+                if found is None:
+                    break
+                steps += 1
+                n, b, back = found
+                held.remove(b, capacity - level[b], sizes(b))
+                if back:
+                    j = next(i for i in bins[b] if lengths[i] == back)
+                    bins[b].remove(j)
+                    bins[a].append(j)
+                for i in parts[n]:
+                    bins[a].remove(i)
+                    bins[b].append(i)
+                level[a] -= n - back
+                level[b] += n - back
+                if level[b] < capacity:
+                    held.add(b, capacity - level[b], sizes(b))
+                else:
+                    under.discard(b)
+            if bins[a]:
+                held.add(a, capacity - level[a], sizes(a))
+                tried[a] = steps
+            else:
+                under.discard(a)
+                left -= 1
+        if steps == before:
+            break
     return [b for b in bins if b]
 
 
