@@ -110,14 +110,33 @@ def test_decontamination_agrees_with_sql(spark, sf_dir):
     columns = "doc_id, n_words, n_hit, n_items, items_sha256, contaminated"
     want = sorted(con.execute(f"SELECT {columns} FROM ({decontamination.SQL})").fetchall())
     assert sorted(tuple(r) for r in decontamination.query(spark, sf_dir).select(*columns.split(", ")).collect()) == want
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    assert sorted(tuple(r) for r in decontamination.contamination(docs, items, 100).select(*columns.split(", ")).collect()) == want
 
 
-@pytest.mark.parametrize("block_words", [200_000, 5])
-def test_short_items_and_blocks(spark, odd, block_words):
+def test_contaminated_rows_go_and_no_others(spark):
+    passage = " ".join(f"w{i}" for i in range(15))
+    rows = [(1, passage), (1, "something clean"), (None, passage), (None, "clean too"), (2, None), (3, f"and {passage}"), (3, f"and {passage}")]
+    docs = spark.createDataFrame([(*r, i, "k") for i, r in enumerate(rows)], "doc_id long, text string, place int, key string")
+    kept = decontamination.decontaminate(docs, spark.createDataFrame([(9, passage)], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(r["place"] for r in kept.collect()) == [1, 3, 4]
+
+
+def test_a_passage_in_all_documents_is_joined_by_salts(spark, monkeypatch):
+    monkeypatch.setattr("tessera.plans.shared.HOT_ROWS", 5)
+    passage = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(i, f"word{i} {passage} behind{i}") for i in range(60)], "doc_id long, text string")
+    items = spark.createDataFrame([(9, passage), (8, "word7 w0")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontamination.contamination(docs, items, 0).collect()}
+    assert got == {i: (20 + (i == 7), 1 + (i == 7)) for i in range(60)}
+
+
+@pytest.mark.parametrize("broadcast_words", [200_000, 5])
+def test_short_items(spark, odd, broadcast_words):
     many = " ".join(f"w{i}" for i in range(40))
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(20, many), (21, "a b C d e f"), (22, "x Y z a b")], "doc_id long, text string"))
     items = spark.createDataFrame([(1, "c-d e"), (2, "A b"), (3, None), (10, "..."), (7, " ".join(f"w{i}" for i in range(10, 25))), (7, "w0"), (None, "no id here")], "item_id long, text string")
-    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontamination.contamination(docs, items, block_words).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontamination.contamination(docs, items, broadcast_words).collect()}
     assert got[20] == (40, 16, 1, True) and got[21] == (6, 5, 2, True) and got[22] == (5, 2, 1, True)
     assert got[3] == got[4] == (0, 0, 0, False) and got[None][1] == 3 and got[7] == (20000, 0, 0, False)
 
