@@ -12,6 +12,10 @@ anything else is a word end, symbol 0.
 Training: rows whose lang is not null, crc32(doc_id as text) mod 5 is not 0; at most SAMPLE of them, chosen by the
 hash of their id. Only counts of n-grams by language reach the driver: languages * 2 ** 18 numbers at most.
 
+keep_identified() rejects texts without a letter and texts without evidence: the cosine of unrelated vectors is 1 / sqrt(DIM)
+in the mean square, and a text of LEAST_GRAMS n-grams or more whose best cosine is below SIGMAS times that shares no more
+with any language than chance does (encoded data, keys struck at random, scripts that nothing was learned from).
+
 Cases: a null text, or one without a letter, is `und` with score 0. If no row can be learned from, all are `und`.
 A text that shares no n-gram with training goes to the language that sorts first, with a low score. Repeated rows get
 the same answer each, empty tables give empty results, other columns are not read.
@@ -38,6 +42,8 @@ SEED = 20240
 #: Sharpness of the score: a softmax over cosines.
 SHARP = 20.0
 CHUNK = 250_000
+#: Evidence that a text is in any of the languages; shorter texts are not rejected for lack of it.
+SIGMAS, LEAST_GRAMS = 3.0, 30
 
 
 @cache
@@ -122,15 +128,16 @@ def learn(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM) -> tuple[list[s
 
 
 def scorer(names: list[str], products: np.ndarray, dim: int = DIM):
-    """A function over texts: language and score of each."""
+    """A function over texts: language and score of each, and whether there is evidence of it."""
 
-    def score(texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores = [], []
+    def score(texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        langs, scores, sure = [], [], []
         for text in texts:
             codes = codes_of(text or "")
             if not len(codes):
                 langs.append("und")
                 scores.append(0.0)
+                sure.append(False)
                 continue
             dots = np.zeros(products.shape[1])
             for i in range(0, len(codes), CHUNK):
@@ -141,27 +148,25 @@ def scorer(names: list[str], products: np.ndarray, dim: int = DIM):
             best = int(cosines.argmax())
             langs.append(names[best])
             scores.append(float(1 / np.exp(SHARP * (cosines - cosines[best])).sum()))
-        return langs, scores
+            sure.append(len(codes) < LEAST_GRAMS or bool(cosines[best] >= SIGMAS / np.sqrt(dim)))
+        return langs, scores, sure
 
     return score
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, columns: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """`columns` of docs with the language and its score, under these names."""
-    if model is None:
-        return docs.select(*columns, F.lit("und").alias(names[0]), F.lit(0.0).alias(names[1]))
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, columns: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "identified")) -> DataFrame:
+    """`columns` of docs with the language, its score and whether there is evidence of it, under these names. Without a
+    model all is `und`, and each text with a letter counts as identified."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(*held.value)
+        score = scorer(*held.value) if held.value else lambda texts: (["und"] * len(texts), [0.0] * len(texts), [bool(len(codes_of(t or ""))) for t in texts])
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                langs, scores = score(part.column(len(columns)).to_pylist())
-                yield pa.record_batch([*part.columns[: len(columns)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*columns, *names])
+            langs, scores, sure = score(batch.column(len(columns)).to_pylist())
+            yield pa.record_batch([*batch.columns[: len(columns)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.bool_())], [*columns, *names])
 
-    schema = docs.select(*columns).schema.add(names[0], "string").add(names[1], "double")
-    return mapped(docs.select(*columns, F.col("text").alias("_text")), run, schema)
+    schema = docs.select(*columns).schema.add(names[0], "string").add(names[1], "double").add(names[2], "boolean")
+    return mapped(docs.select(*columns, F.col("text").alias("_tessera_text")), run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -171,11 +176,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents with a letter; the others (null texts too) have no language and go. So it is without a model, when no
-    row can be learned from: a model of one language stands in."""
-    columns = docs.columns
-    model = learn(docs) or (["any"], np.zeros((CODES, 1), np.float32))
-    return predict(docs, model, columns, ("_language", "_certainty")).filter("_language <> 'und'").select(*columns)
+    """The rows whose text is in a language: without a letter (null texts too), or without evidence of any of the languages
+    learned, they go. If no row can be learned from, all with a letter stay."""
+    return predict(docs, learn(docs), docs.columns, ("_tessera_lang", "_tessera_score", "_tessera_sure")).filter("_tessera_sure").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

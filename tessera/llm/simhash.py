@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mapped, materialize, salted_join, table, without
+from tessera.llm.common import drop, mapped, materialize, salted_join, table, without
 
 SHINGLE = 3
 DISTANCE = 2
@@ -207,7 +207,6 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) of every node that links name; root is one node of its component. Alternating star steps."""
     edges = materialize(pairs.select(F.greatest("fp", "other").alias("u"), F.least("fp", "other").alias("v")).filter("u <> v").distinct(), "edges")
-    state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
@@ -215,9 +214,11 @@ def components(pairs: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = salted_join(large, low, ["u"], "n")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "edges")
-        before, state = state, edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if state == before:
+        before, edges = edges, materialize(small, "edges")
+        # Both are distinct, so they are equal if each edge of one is in the other.
+        done = edges.join(before, ["u", "v"], "left_anti").isEmpty() and before.join(edges, ["u", "v"], "left_anti").isEmpty()
+        drop(before)
+        if done:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

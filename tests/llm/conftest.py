@@ -17,7 +17,7 @@ TEXTS = [
 def odd(spark):
     """Nulls, empty and long texts, ties, repeated rows, and columns whose names clash with the operators' own."""
     frame = spark.createDataFrame(TEXTS, "doc_id long, text string, lang string, source string")
-    clash = {c: frame["source"] for c in ("hash", "fp", "n", "rid", "score", "keep_id", "x", "words", "key", "group_size", "_salt", "block", "parts")}
+    clash = {c: frame["source"] for c in ("hash", "fp", "n", "rid", "score", "keep_id", "x", "words", "key", "group_size", "_salt", "block", "parts", "_cuts", "n_cut", "_text", "_language", "_certainty", "spans", "owner", "bucket", "place", "digest")}
     return frame.withColumns(clash)
 
 

@@ -282,7 +282,7 @@ def test_spans_by_brute_force(documents, texts):
 def test_substring_odd_rows(odd, none, spark):
     assert substring_dedup.spans(none).count() == 0 and substring_dedup.deduplicate(none).count() == 0
     cleaned = substring_dedup.deduplicate(odd)
-    assert cleaned.columns == [*odd.columns, "n_cut"] and cleaned.count() == odd.count()
+    assert cleaned.columns == [*[c for c in odd.columns if c != "n_cut"], "n_cut"] and cleaned.count() == odd.count()
     text = " ".join(f"word{i}" for i in range(80))
     frame = spark.createDataFrame([(2, f"before it {text} behind"), (1, text), (3, "something else")], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in substring_dedup.spans(frame).collect()}

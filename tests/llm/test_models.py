@@ -1,6 +1,7 @@
 import random
 import re
 import textwrap
+import zlib
 
 import numpy as np
 import pytest
@@ -45,6 +46,46 @@ def test_texts_stay_if_no_language_can_be_learned(odd):
     assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 5, 5, 7]
 
 
+def test_texts_without_evidence_of_a_language_go(spark, documents):
+    texts = ["qzxwv kjhgf zzxq vbnmq wqxz jjkq xzqw pqvz kkxz wvqj", "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ=" * 3, "\u4e2d\u6587" * 30, "zq", None, "42"]
+    own = [r["text"] for r in documents.limit(20).collect()]
+    rows = documents.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(10_000 + i, t, None) for i, t in enumerate([*texts, *own])], "doc_id long, text string, lang string"))
+    clash = rows.withColumns({c: F.lit("x") for c in ("_language", "_text", "_certainty", "identified", "lang_pred")})
+    kept = lang_id.keep_identified(clash)
+    assert kept.columns == clash.columns
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert {i for i in range(10_000, 10_000 + len(texts)) if i in ids} == {10_003}
+    assert len(ids) == rows.count() - 5
+
+
+def test_the_query_by_brute_force(spark, sf_dir, documents):
+    """Vectors added up n-gram by n-gram and compared with prototypes made the same way."""
+    rows = documents.collect()
+    letters, codes = lang_id.letter_vectors(), np.arange(lang_id.CODES)
+    vectors = lambda c: np.roll(letters, 2, 1)[c >> 12] * np.roll(letters, 1, 1)[c >> 6 & 63] * letters[c & 63]
+    bundled = lambda n: sum(n[part] @ vectors(part) for part in np.array_split(codes[n > 0], 20) if len(part))
+    count = lambda texts: np.bincount(np.concatenate([lang_id.codes_of(t or "") for t in texts]), minlength=lang_id.CODES).astype(np.float64)
+    learned = {}
+    for r in rows:
+        if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            learned.setdefault(r["lang"], []).append(r["text"])
+    prototypes = {k: (v := bundled(count(t))) / np.linalg.norm(v) for k, t in learned.items()}
+    got = {r["doc_id"]: r for r in lang_id.query(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        own = got[r["doc_id"]]
+        n = count([r["text"]])
+        assert own["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        if not n.any():
+            assert (own["lang_pred"], own["score"]) == ("und", 0.0)
+            continue
+        v = bundled(n) / np.sqrt(lang_id.DIM * (n**2).sum())
+        cosines = {k: float(v @ p) for k, p in prototypes.items()}
+        best = max(cosines.values())
+        assert cosines[own["lang_pred"]] > best - 1e-4
+        assert abs(own["score"] - 1 / sum(np.exp(lang_id.SHARP * (c - best)) for c in cosines.values())) < 1e-2
+
+
 # --- toxicity ---
 
 
