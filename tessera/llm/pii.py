@@ -4,15 +4,19 @@ Base patterns (leftmost, not overlapping, per kind): e-mail, IP (parts at most 2
 Luhn) and phone (from a plus sign, 9 to 15 digits). They stay whatever the field says.
 
 The field's tokens are the candidates of a document: base matches, and, in the text between these, runs of digits and
-their separators (brackets, dots, hyphens, blanks, a plus) with 7 digits or more; runs of over 15 digits fall into the
-phone forms, card forms and plain numbers that stand side by side in them. Labels: other, email, ip, card, phone. A token's
-potentials come from its shape and the words beside it; neighbours in the text are linked; and so are distant tokens
-with the same digits, or the same last 7 (skip links): linked tokens share potentials through loopy message passing, so that a
-number that is evidently a phone in one place is one everywhere in the document. Base matches are clamped. Equal
-digits form a chain in text order, not all pairs, so links grow with the tokens.
-
-Weights are trained on the driver from a seeded generator of labelled examples, by pseudo-likelihood.
-Only e-mail, card and phone forms can be added; spans labelled other are dropped.
+their separators (brackets, dots, hyphens, blanks, a plus) with LEAST_DIGITS digits or more, and runs of SECRET or more
+letters, digits and signs that hold both letters and digits; number runs of over LONGEST digits fall into the phone forms,
+card forms and plain numbers that stand side by side in them. Labels: other, email, ip, card, phone, secret. A token's
+potentials come from its shape and the word beside it, which is looked for in CONTEXT characters; neighbours in the text
+are linked; and so are distant tokens with the same digits, the same last 7, or the same letters and digits (skip links):
+linked tokens share potentials through loopy message passing, so that a number that is evidently a phone in one place is
+one everywhere in the document. Base matches are clamped. Equal keys form a chain in text order, not all pairs, so links
+grow with the tokens.
+
+Weights are trained on the driver on seeded documents, whose numbers follow each other in kinds as they do in lists of
+contacts or orders and come back in other forms, by the pseudo-likelihood of each open token given its true neighbours in
+the chain and along skip links. Card and phone forms and secrets can be added; spans labelled otherwise are dropped.
+Secrets (keys, access tokens) are no personal data: they have columns of their own.
 
 Cases: a null text counts as empty: no spans. Offsets are code points, ends exclusive. Null doc_ids and repeated rows
 are returned a row each; empty tables give an empty result; other columns are not read.
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import mapped, table
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("other", *KINDS)
+LABELS = ("other", *KINDS, "secret")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -44,7 +48,9 @@ PARTS = re.compile(r"(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\
 LONGEST = 15
 WORD_BEFORE = re.compile(r"([^\W\d_]+)[^\w]*$")
 ROUNDS = 6
-LEAST_DIGITS = 7
+LEAST_DIGITS, SECRET, CONTEXT = 7, 16, 30
+RUN = re.compile(r"[A-Za-z0-9_+/-]{16,}+")
+HEX = frozenset("0123456789abcdefABCDEF")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -97,36 +103,49 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 CUES = {
     "card": frozenset("card visa mastercard amex credit debit karte kreditkarte carte tarjeta".split()),
     "phone": frozenset("phone tel telephone call mobile cell fax telefon handy anruf téléphone appeler teléfono llamar móvil".split()),
+    "secret": frozenset("token key secret password passwd bearer credential auth api apikey clave schlüssel jeton".split()),
     "other": frozenset("order invoice ref number no id page isbn total figure year bestellung commande pedido".split()),
 }
 
 
 def shape(span: str, before: str) -> np.ndarray:
-    """Features of a candidate: its digits, how they are grouped and set off, and the word before it."""
+    """Features of a candidate: its digits, how they are grouped and set off, its letters, and the word before it."""
     d = digits_of(span)
     n = len(d)
     groups = [len(g) for g in re.findall("[0-9]+", span)]
     word = WORD_BEFORE.search(before)
     cue = word[1].lower() if word else ""
+    letters = sum(c.isalpha() for c in span)
+    mixed = letters > 0 and "@" not in span
+    bare = HEX.issuperset(span)
+    changes = sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:], strict=False)) / max(1, len(span) - 1)
     return np.array(
         [
             1, "@" in span, span.startswith("+"), "(" in span, len(groups) == 1, n in (7, 8), n in (9, 10, 11), n == 10 and len(groups) == 3, 12 <= n <= 19,
             n == 16, n > 19, 12 <= n <= 19 and luhn(d), groups[:3] == [4, 4, 4], groups[-1:] == [4] and len(groups) > 1, "." in span, len(groups) == 4 and all(g < 4 for g in groups) and "." in span,
             "-" in span or " " in span, len(set(d)) < 3, cue in CUES["card"], cue in CUES["phone"], cue in CUES["other"],
+            mixed, mixed and bare, mixed and len(span) >= 24, mixed and n >= 4 and letters >= 4, mixed and changes > 0.25, mixed and before.rstrip(" ")[-1:] in ("=", ":", '"', "'"), cue in CUES["secret"],
         ],
         float,
     )
 
 
 def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, label or -1 if open): base matches, and loose numbers between them, in order of start."""
+    """(start, end, label or -1 if open): base matches, and between them loose numbers and runs of letters and digits, in
+    order of start."""
     out = [(s, e, LABELS.index(k)) for s, k, e in base]
     taken = sorted((s, e) for s, e, _ in out)
     at = 0
     for start, after in [*taken, (len(text), len(text))]:
+        runs = [m.span() for m in RUN.finditer(text, at, start) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
+        out += [(s, e, -1) for s, e in runs]
+        runs.append((len(text), len(text)))
+        k = 0
         for m in LOOSE.finditer(text, at, start):
             s, e = m.span()
-            if (n := len(digits_of(m[0]))) < LEAST_DIGITS:
+            while runs[k][1] <= s:
+                k += 1
+            if runs[k][0] < e or (n := len(digits_of(m[0]))) < LEAST_DIGITS:  # digits of a run are no number
                 continue
             parts = [(s + x.start(), s + x.end(), -1) for x in PARTS.finditer(m[0])] if n > LONGEST else []
             out += parts or [(s, e, -1)]
@@ -134,73 +153,130 @@ def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, i
     return sorted(out)
 
 
+def key_of(span: str) -> str:
+    """What skip links compare: the digits of a number, all of what holds letters."""
+    return span if any(c.isalpha() for c in span) else digits_of(span)
+
+
 def skip_links(keys: list[str]) -> list[tuple[int, int]]:
-    """Places of tokens with the same digits, or the same last 7, each with the one before it."""
+    """Places of tokens with the same key, or of numbers with the same last 7 digits, each with the one before it."""
     last: dict[str, int] = {}
     out = set()
     for i, d in enumerate(keys):
-        for key in ({d, d[-7:]} if len(d) >= LEAST_DIGITS else set()):
+        for key in ({d, d[-7:]} if d.isdigit() else {d}) if len(d) >= LEAST_DIGITS else ():
             if key in last:
                 out.add((last[key], i))
             last[key] = i
     return sorted(out)
 
 
-def example(rng: np.random.Generator) -> tuple[str, str]:
-    """A labelled number with the words before it."""
+FILL = "the of and that was with from und der nicht auch que les dans pour el una por at it said there were".split()
+
+
+def entity(rng: np.random.Generator) -> tuple[str, list[str]]:
+    """A kind, and the forms one number or string of it may have; | stands between two that are side by side."""
     num = lambda *sizes: ["".join(map(str, rng.integers(0, 10, n))) for n in sizes]
     pick = lambda options: options[rng.integers(len(options))]
-    kind = pick(["phone", "phone", "card", "other", "other", "other"])
+    kind = pick(["phone", "phone", "card", "secret", "other", "other", "other"])
     if kind == "phone":
         a, b, c = num(3, 3, 4)
-        span = pick([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"({a}) {b} {c}", f"({a}){b}-{c}", f"1-{a}-{b}-{c}", f"+1 ({a}) {b}-{c}", a + b + c, f"{a} {b}{c}"])
-    elif kind == "card":
+        return kind, [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"({a}) {b} {c}", f"({a}){b}-{c}", f"1-{a}-{b}-{c}", f"+1 ({a}) {b}-{c}", f"+1 {a} {b} {c}", a + b + c, f"{a} {b}{c}"]
+    if kind == "card":
         d = num(15)[0]
         d += str(next(c for c in range(10) if luhn(d + str(c))))
-        span = pick([d, f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}", ".".join((d[:4], d[4:8], d[8:12], d[12:]))])
-    else:
-        y = num(4, 2, 2)
-        span = pick([num(8)[0], num(16)[0], "-".join(y), num(12)[0], num(7)[0], num(22)[0], num(10)[0], " ".join(num(3, 7)), " ".join(num(1, 2, 1, 2, 3)), ".".join(num(2, 3, 1, 2))])
-    cue = pick(sorted(CUES[kind])) if rng.random() < 0.3 else pick(["the", "of", "und", "que", ""])
-    return kind, f"{cue} \0{span}"
+        return kind, [d, f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}", ".".join((d[:4], d[4:8], d[8:12], d[12:])), f"{d}|{d}"]
+    if kind == "secret":
+        signs = pick(["0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+        return kind, ["".join(signs[i] for i in rng.integers(0, len(signs), pick([20, 32, 40, 48, 64])))]
+    y = num(4, 2, 2)
+    words_ = [pick(FILL) for _ in range(5)]
+    plain = ["-".join(words_[:4]) + "-" + num(2)[0], "/".join(words_) + num(1)[0], "_".join(words_[:4]) + "2", "version-" + "-".join(num(1, 2, 4)) + "-release"]
+    return kind, [pick([num(8)[0], num(16)[0], "-".join(y), num(12)[0], num(7)[0], num(22)[0], num(10)[0], " ".join(num(3, 7)), " ".join(num(1, 2, 1, 2, 3)), ".".join(num(2, 3, 1, 2)), *plain])]
+
+
+def document(rng: np.random.Generator) -> tuple[str, dict[tuple[int, int], str]]:
+    """A text with entities, each mentioned up to three times, and the kind of each mention's span. The next mention is of the
+    same kind more often than not; a first mention of a kind that has cues stands behind one half of the time, a later one seldom."""
+    pick = lambda options: options[rng.integers(len(options))]
+    left = [[*entity(rng), int(rng.integers(1, 4)), True] for _ in range(rng.integers(1, 7))]
+    text, spans, last = "", {}, None
+    while left:
+        same = [e for e in left if e[0] == last]
+        one = pick(same if same and rng.random() < 0.6 else left)
+        kind, forms, times, first = one
+        one[2:] = times - 1, False
+        if times == 1:
+            left.remove(one)
+        text += " ".join(pick(FILL) for _ in range(rng.integers(0, 7))) if last != kind or rng.random() < 0.5 else pick([",", " /", "\n", ""])
+        if rng.random() < (0.5 if first else 0.1):
+            text += " " + pick(sorted(CUES[kind])) + pick([" ", ": ", ' = "' if kind == "secret" else " "])
+        elif text and text[-1] != "\n":
+            text += " "
+        for form in pick(forms).split("|"):
+            spans[len(text), len(text) + len(form)] = kind
+            text += form + " "
+        text = text[:-1] + pick([" ", ". ", '" ' if kind == "secret" else ", "])
+        last = kind
+    return text, spans
+
+
+def links_of(text: str, tokens: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Chain links and skip links of tokens."""
+    return [(i, i + 1) for i in range(len(tokens) - 1)], skip_links([key_of(text[s:e]) for s, e, _ in tokens])
+
+
+DOCUMENTS = 1_500
 
 
 @cache
 def weights() -> tuple[np.ndarray, float, float]:
     """(labels x features) of a token, the weight of equal labels along the chain and along skip links."""
     rng = np.random.default_rng(7)
-    rows = [example(rng) for _ in range(4000)]
-    x = np.stack([shape(s, b) for b, _, s in (t.partition("\0") for _, t in rows)])
-    y = np.array([LABELS.index(k) for k, _ in rows])
-    # Partners for pseudo-likelihood: a repeat of the same number (equal label) half the time, an unrelated neighbour always.
-    neighbour = np.roll(y, 1)
-    repeat = np.where(rng.random(len(y)) < 0.5, y, -1)
-    labels = np.arange(len(LABELS))
-    near, same = (neighbour[:, None] == labels).astype(float), (repeat[:, None] == labels).astype(float)
-    w, chain, skip = np.zeros((len(LABELS), x.shape[1])), 0.0, 0.0
-    truth = (y[:, None] == labels).astype(float)
+    x, y, near, same = [], [], [], []
+    for _ in range(DOCUMENTS):
+        text, gold = document(rng)
+        tokens = candidates(text, base_spans(text))
+        truth = np.array([known if known >= 0 else LABELS.index(gold.get((s, e), "other")) for s, e, known in tokens])
+        held = []
+        for links in links_of(text, tokens):
+            counts = np.zeros((len(tokens), len(LABELS)))
+            for i, j in links:
+                counts[i, truth[j]] += 1
+                counts[j, truth[i]] += 1
+            held.append(counts)
+        for i, (s, e, known) in enumerate(tokens):
+            if known < 0:
+                x.append(shape(text[s:e], text[max(0, s - CONTEXT) : s]))
+                y.append(truth[i])
+                near.append(held[0][i])
+                same.append(held[1][i])
+    x, y, near, same = np.stack(x), np.array(y), np.stack(near), np.stack(same)
+    # One row of weights for each label over features, and beside it the two links', scaled step by step (Adagrad).
+    w, link = np.zeros((len(LABELS), x.shape[1])), np.zeros(2)
+    square_w, square_link = np.full_like(w, 1e-8), np.full_like(link, 1e-8)
+    truth = np.eye(len(LABELS))[y]
     for _ in range(400):
-        score = x @ w.T + chain * near + skip * same
+        score = x @ w.T + link[0] * near + link[1] * same
         p = np.exp(score - score.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        g = truth - p
-        w += 0.5 * (g.T @ x / len(x) - 0.001 * w)
-        chain += 0.5 * ((g * near).sum() / len(x) - 0.001 * chain)
-        skip += 0.5 * ((g * same).sum() / len(x) - 0.001 * skip)
-    return w, float(chain), float(skip)
+        g = truth - p / p.sum(1, keepdims=True)
+        step_w = g.T @ x / len(x) - 0.0002 * w
+        step_link = np.array([(g * near).sum(), (g * same).sum()]) / len(x) - 0.0002 * link
+        square_w += step_w**2
+        square_link += step_link**2
+        w += 0.3 * step_w / np.sqrt(square_w)
+        link += 0.3 * step_link / np.sqrt(square_link)
+    return w, float(link[0]), float(link[1])
 
 
 def label(text: str, tokens: list[tuple[int, int, int]], model: tuple[np.ndarray, float, float]) -> list[int]:
     """The label of each token: beliefs of the skip-chain field after loopy message passing."""
     w, chain, skip = model
-    n = len(tokens)
-    unary = np.stack([w @ shape(text[s:e], text[max(0, s - 30) : s]) for s, e, _ in tokens])
+    unary = np.stack([w @ shape(text[s:e], text[max(0, s - CONTEXT) : s]) for s, e, _ in tokens])
     for i, (_, _, known) in enumerate(tokens):
         if known >= 0:
             unary[i] = -50.0
             unary[i, known] = 0.0
-    skips = skip_links([digits_of(text[s:e]) for s, e, _ in tokens])
-    edges = [(i, i + 1, chain) for i in range(n - 1)] + [(i, j, skip) for i, j in skips]
+    edges = [(i, j, weight) for links, weight in zip(links_of(text, tokens), (chain, skip), strict=True) for i, j in links]
     if edges:
         a, b, strength = np.array([x[0] for x in edges]), np.array([x[1] for x in edges]), np.exp(np.array([x[2] for x in edges]))[:, None]
         out, into, strength = np.append(a, b), np.append(b, a), np.vstack([strength, strength])
@@ -219,24 +295,34 @@ def label(text: str, tokens: list[tuple[int, int, int]], model: tuple[np.ndarray
     return unary.argmax(1).tolist()
 
 
-def find(text: str | None, model: tuple[np.ndarray, float, float] | None = None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
-    """Base spans and all spans of a text: (start, kind, end)."""
+Spans = list[tuple[int, str, int]]
+
+
+def found(text: str | None, model: tuple[np.ndarray, float, float] | None = None) -> tuple[Spans, Spans, Spans]:
+    """Base spans, spans of personal data that the field adds, and secrets: (start, kind, end), each in order of start."""
     text = text or ""
     base = base_spans(text)
     tokens = candidates(text, base)
     if all(known >= 0 for _, _, known in tokens):
-        return base, base
-    found = label(text, tokens, model or weights())
-    added = [(s, LABELS[k], e) for (s, e, known), k in zip(tokens, found, strict=True) if known < 0 and k]
+        return base, [], []
+    labels = [LABELS[k] for k in label(text, tokens, model or weights())]
+    new = [(s, k, e) for (s, e, known), k in zip(tokens, labels, strict=True) if known < 0]
+    return base, [x for x in new if x[1] in ("card", "phone")], [x for x in new if x[1] == "secret"]
+
+
+def find(text: str | None, model: tuple[np.ndarray, float, float] | None = None) -> tuple[Spans, Spans]:
+    """Base spans and all spans of personal data in a text: (start, kind, end)."""
+    base, added, _ = found(text, model)
     return base, sorted(base + added, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
-def written(spans: list[tuple[int, str, int]]) -> str:
+def written(spans: Spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, k, e in spans)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (kind:start:end, all)."""
+    """Per row of docs: doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (kind:start:end, all of personal
+    data), secrets (likewise) and n_spans, how many of both."""
 
     held = docs.sparkSession.sparkContext.broadcast(weights())  # trained once, on the driver
 
@@ -245,13 +331,14 @@ def scan(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch.column("text"):
-                base, spans = find(text.as_py(), model)
+                base, added, secrets = found(text.as_py(), model)
                 kinds = [k for _, k, _ in base]
-                rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(written(base).encode()).hexdigest(), written(spans)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            yield pa.record_batch([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:4]], *[pa.array(c, pa.string()) for c in columns[4:]]], names)
+                spans = sorted(base + added, key=lambda x: (x[0], KINDS.index(x[1])))
+                rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(written(base).encode()).hexdigest(), written(spans), written(secrets), len(spans) + len(secrets)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+            yield pa.record_batch([batch.column("doc_id"), *[pa.array(c, pa.int64() if name.startswith("n_") else pa.string()) for c, name in zip(columns, names[1:], strict=True)]], names)
 
-    names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"]
+    names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "secrets", "n_spans"]
     schema = docs.select("doc_id").schema
     for name in names[1:]:
         schema = schema.add(name, "long" if name.startswith("n_") else "string")
@@ -263,7 +350,7 @@ def redact(text: str | None) -> str | None:
     if not text:
         return text
     out, done = [], 0
-    for s, k, e in find(text)[1]:
+    for s, k, e in sorted(sum(found(text), [])):
         if s >= done:
             out += [text[done:s], f"<{k}>"]
         done = max(done, e)
