@@ -6,8 +6,9 @@ the reader; capitals, capital words, punctuation, exclamation and question marks
 rate of obfuscated words; length.
 
 Training: labelled rows with crc32(doc_id as text) mod 3 not 1, at most SAMPLE of them by the hash of their id. Only
-their features (FEATURES numbers a row) and LEARNED words and stems at most reach the driver. The trees are grown there by
-histograms; the isotonic map is fitted on scores of rows that the trees of another fold did not see.
+their features (FEATURES numbers a row, thrice) and LEARNED words and stems at most reach the driver. The trees are grown
+there by histograms; the isotonic map is fitted on scores of rows whose labels had no part in them: each of two folds is
+scored by trees grown on the other one, over words and stems learned from the other one.
 
 Cases: null labels are left out; of repeated labels of an id the largest counts. Null texts count as empty and are
 scored like others. Without rows of both labels to learn from, all scores are the share of label 1 (0 without rows).
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_fold, mapped, materialize, table
+from tessera.llm.common import crc_fold, drop, mapped, materialize, table
 
 SAMPLE = 30_000
 LEARNED = 300
@@ -49,11 +50,9 @@ SECOND = frozenset(b"you your yours yourself u ur youre thou du dein deine dich
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Signs put for letters.
 LEET = bytes.maketrans(b"0134578@$!", b"oieastbasi")
-OBFUSCATED = re.compile(rb"[0-9@$!*#]+[A-Za-z]")
+OBFUSCATED = re.compile(rb"(?<=[A-Za-z])[0-9@$!*#]+[A-Za-z]")
 CAPITALS = re.compile(rb"[A-Z]{3,}")
 STRETCHED = re.compile(rb"([A-Za-z])\1\1")
-EDGE = re.compile(rb"\S+$")
-REST = re.compile(rb"\S+")
 FEATURES = 17
 
 
@@ -79,13 +78,11 @@ def features(text: bytes, stems: list[tuple[int | None, frozenset[bytes]]]) -> l
     either = sorted({*fixed, *own})
     near = sum(any(w in SECOND for w in words[max(0, i - NEAR) : i + NEAR + 1]) for i in either)
     obfuscated = undone = 0
-    for m in OBFUSCATED.finditer(text):
-        at = m.start()
-        if at and (64 < text[at - 1] < 91 or 96 < text[at - 1] < 123):
-            obfuscated += 1
-            head = EDGE.search(text, max(0, at - 20), at)
-            word = ((head[0] if head else b"") + REST.match(text, at, at + 20)[0]).translate(LEET).translate(PLAIN).strip()
-            undone += word in INSULTS or any(word[:k] in known for k, known in stems)
+    for word in text.split() if OBFUSCATED.search(text) else ():
+        if signs := len(OBFUSCATED.findall(word)):
+            obfuscated += signs
+            plain = word.translate(LEET).translate(PLAIN).strip()
+            undone += plain in INSULTS or any(plain[:k] in known for k, known in stems)
     return [
         np.log1p(n),
         len(fixed), len(fixed) / n, len(own), len(own) / n, len(either), len(either) / n, len({words[i] for i in either}),
@@ -98,14 +95,14 @@ def features(text: bytes, stems: list[tuple[int | None, frozenset[bytes]]]) -> l
     ]
 
 
-def featured(rows: DataFrame, columns: list[str], learned: frozenset[bytes]) -> DataFrame:
-    """`columns` of rows, and x: the features of text."""
+def featured(rows: DataFrame, columns: list[str], learned: list[frozenset[bytes]]) -> DataFrame:
+    """`columns` of rows, and x: the features of text, for each set of learned words in turn."""
 
-    stems = by_length(learned)
+    sets = [by_length(x) for x in learned]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t.as_py() or b"", stems) for t in batch.column("_text").cast(pa.binary())]
+            x = [[v for stems in sets for v in features(t.as_py() or b"", stems)] for t in batch.column("_text").cast(pa.binary())]
             yield pa.record_batch([*[batch.column(c) for c in columns], pa.array(x, pa.list_(pa.float64()))], [*columns, "x"])
 
     return mapped(rows.select(*columns, F.col("text").alias("_text")), run, rows.select(*columns).withColumn("x", F.array().cast("array<double>")).schema)
@@ -186,17 +183,18 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Learned words, trees and the isotonic map."""
+    """Learned words, trees and the isotonic map. x has the features over all learned words, others[k] those over words that
+    were learned without fold k."""
 
-    def __init__(self, learned: frozenset[bytes], x: np.ndarray, y: np.ndarray, fold: np.ndarray):
+    def __init__(self, learned: frozenset[bytes], x: np.ndarray, y: np.ndarray, fold: np.ndarray, others: list[np.ndarray]):
         self.learned, self.share = learned, float(y.mean()) if len(y) else 0.0
         self.trees = None
         if 0 < y.sum() < len(y):
             out = np.empty(len(y))
-            for k in range(2):
-                other = fold == k
-                both = 0 < y[~other].sum() < (~other).sum()
-                out[other] = Trees(x[~other], y[~other]).raw(x[other]) if both and other.any() else np.log(self.share)
+            for k, own in enumerate(others):
+                here = fold == k
+                both = 0 < y[~here].sum() < (~here).sum()
+                out[here] = Trees(own[~here], y[~here]).raw(own[here]) if both and here.any() else np.log(self.share)
             self.knots = isotonic(out, y)
             self.trees = Trees(x, y)
 
@@ -205,34 +203,47 @@ class Model:
 
 
 def count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts, and toxic ones, that hold each word or stem."""
+    """Texts, and toxic ones, that hold each word or stem, by fold."""
+    names = ["t0", "n0", "t1", "n1"]
 
     def flush(held: dict[bytes, list[int]]) -> pa.RecordBatch:
-        out = pa.record_batch([pa.array(held, pa.binary()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())], ["unit", "t", "n"])
+        out = pa.record_batch([pa.array(held, pa.binary()), *[pa.array([v[i] for v in held.values()], pa.int64()) for i in range(4)]], ["unit", *names])
         held.clear()
         return out
 
     held: dict[bytes, list[int]] = {}
     for batch in batches:
-        for text, toxic in zip(batch.column("text").cast(pa.binary()), batch.column("toxic").to_pylist(), strict=True):
+        for text, toxic, fold in zip(batch.column("text").cast(pa.binary()), batch.column("toxic").to_pylist(), batch.column("fold").to_pylist(), strict=True):
             for u in {u for w in {*text.as_py().translate(PLAIN).split()} for u in units(w)}:
-                v = held.setdefault(u, [0, 0])
-                v[0] += toxic
-                v[1] += 1
+                v = held.setdefault(u, [0, 0, 0, 0])
+                v[2 * fold] += toxic
+                v[2 * fold + 1] += 1
             if len(held) > UNITS_HELD:
                 yield flush(held)
     yield flush(held)
 
 
-def learn_words(rows: DataFrame) -> frozenset[bytes]:
-    """Words and stems of rows (text, toxic) that are frequent in toxic texts and rare in the others."""
-    totals = rows.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
-    if not totals["n"] or not totals["t"] or totals["t"] == totals["n"]:
-        return frozenset()
-    counts = mapped(rows.select("text", "toxic"), count_units, "unit binary, t long, n long").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    odds = ((F.col("t") + 0.5) / (totals["t"] + 1)) / ((F.col("n") - F.col("t") + 0.5) / (totals["n"] - totals["t"] + 1))
-    found = counts.filter(F.col("t") >= max(LEAST_TEXTS, LEAST_SHARE * totals["t"])).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("t"), "unit").limit(LEARNED)
-    return frozenset(bytes(r["unit"]) for r in found.collect())
+def learn_words(rows: DataFrame) -> list[frozenset[bytes]]:
+    """Words and stems of rows (text, toxic, fold) that are frequent in toxic texts and rare in the others: of all rows,
+    without those of fold 0, without those of fold 1."""
+    totals = [{"t": 0, "n": 0}, {"t": 0, "n": 0}]
+    for r in rows.groupBy("fold").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).collect():
+        totals[r["fold"]] = r.asDict()
+    sums = ", ".join(f"sum({c}) AS {c}" for c in ("t0", "n0", "t1", "n1")).split(", ")
+    counts = mapped(rows.select("text", "toxic", "fold"), count_units, "unit binary, t0 long, n0 long, t1 long, n1 long").groupBy("unit").agg(*map(F.expr, sums))
+    counts = materialize(counts.filter(F.col("t0") + F.col("t1") >= LEAST_TEXTS), "units")
+    out = []
+    for folds in ((0, 1), (1,), (0,)):
+        toxic, texts = (sum(totals[k][c] for k in folds) for c in ("t", "n"))
+        if not 0 < toxic < texts:
+            out.append(frozenset())
+            continue
+        t, n = (sum((F.col(f"{c}{k}") for k in folds), F.lit(0)) for c in ("t", "n"))
+        odds = ((t + 0.5) / (toxic + 1)) / ((n - t + 0.5) / (texts - toxic + 1))
+        found = counts.filter((t >= max(LEAST_TEXTS, LEAST_SHARE * toxic)) & (odds >= LEAST_ODDS)).orderBy(t.desc(), "unit").limit(LEARNED)
+        out.append(frozenset(bytes(r["unit"]) for r in found.select("unit").collect()))
+    drop(counts)
+    return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -244,9 +255,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = materialize(rows.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("fold").alias("fold")), "labelled")  # a copy tells nothing new
     learned = learn_words(rows)
     held = featured(rows, ["toxic", "fold"], learned).toArrow()
-    x = np.array(held["x"].to_pylist(), np.float64).reshape(-1, FEATURES)
-    order = np.lexsort((*x.T, held["toxic"].to_numpy()))  # the same model however the rows come
-    return Model(learned, x[order], held["toxic"].to_numpy().astype(np.float64)[order], held["fold"].to_numpy()[order])
+    drop(rows)
+    x = np.array(held["x"].to_pylist(), np.float64).reshape(-1, 3 * FEATURES)
+    order = np.lexsort((*x.T, held["toxic"].to_numpy(), held["fold"].to_numpy()))  # the same model however the rows come
+    all_, *others = (x[order, k * FEATURES : (k + 1) * FEATURES] for k in range(3))
+    return Model(learned[0], all_, held["toxic"].to_numpy().astype(np.float64)[order], held["fold"].to_numpy()[order], others)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -123,6 +123,72 @@ def test_held_out_toxicity(spark):
     assert (high[:, None] > low).mean() + 0.5 * (high[:, None] == low).mean() > 0.85
 
 
+def brute_features(text, learned):
+    """Word by word, with regular expressions."""
+    text = (text or "").encode()
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in text)
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", lower)
+    n = max(1, len(words))
+    letters = max(1, len(re.findall(rb"[A-Za-z\x80-\xff]", text)))
+    known = lambda w: any((w if u.startswith(b"0:") else w[: int(u[:1])]) == u[2:] for u in learned)
+    fixed = [i for i, w in enumerate(words) if w in toxicity.INSULTS]
+    own = [i for i, w in enumerate(words) if known(w)]
+    either = sorted({*fixed, *own})
+    near = sum(any(abs(i - j) <= toxicity.NEAR and w in toxicity.SECOND for j, w in enumerate(words)) for i in either)
+    obfuscated, undone = 0, 0
+    for w in re.split(rb"[\x20\x09-\x0d]+", text):
+        hits = re.findall(rb"(?<=[A-Za-z])[0-9@$!*#]+[A-Za-z]", w)
+        obfuscated += len(hits)
+        if hits:
+            plain = re.sub(rb"[^0-9a-z\x80-\xff]", b" ", w.translate(toxicity.LEET).lower() if w.isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in w.translate(toxicity.LEET))).strip()
+            undone += plain in toxicity.INSULTS or known(plain)
+    return [
+        np.log1p(n), len(fixed), len(fixed) / n, len(own), len(own) / n, len(either), len(either) / n, len({words[i] for i in either}), near / n, near,
+        len(re.findall(rb"[A-Z]", text)) / letters, len(re.findall(rb"[A-Z]{3,}", text)) / n, text.count(b"!") / n,
+        len(re.findall(rb"[!-/:-@\[-`{-~]", text)) / letters, len(re.findall(rb"([A-Za-z])\1\1", text)) / n, obfuscated / n, undone / n,
+    ]
+
+
+def test_the_toxicity_query_by_brute_force(spark, documents):
+    """Features, trees and the isotonic map, row by row, for whole documents."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels)
+    assert model.learned
+    rows = documents.collect()
+    got = {r["doc_id"]: r for r in toxicity.score(documents, model).collect()}
+    for r in rows[:60]:
+        x = brute_features(r["text"], model.learned)
+        f = model.trees.base
+        for splits, value in model.trees.trees:
+            node = 0
+            for level in range(toxicity.DEPTH):
+                k, cut = splits[2**level - 1 + node]
+                node = 2 * node + (sum(e < x[k] for e in model.trees.edges[k]) > cut)
+            f += value[node]
+        own = got[r["doc_id"]]
+        want = float(np.interp(f, *model.knots))
+        assert abs(own["score"] - want) < 1e-9 and own["predicted"] == (own["score"] >= 0.7) and own["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_scores_are_calibrated_between_the_ends():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12_000, 4))
+    y = (rng.random(len(x)) < 1 / (1 + np.exp(-1.5 * x[:, 0] - x[:, 1]))).astype(float)
+    fold = rng.integers(0, 2, len(x))
+    model = toxicity.Model(frozenset(), x[:6000], y[:6000], fold[:6000], [x[:6000]] * 2)
+    score = model.scores(x[6000:])
+    for low in np.arange(0, 1, 0.2):
+        here = (score >= low) & (score < low + 0.2)
+        assert here.sum() > 300 and abs(y[6000:][here].mean() - score[here].mean()) < 0.05
+
+
+def test_words_of_a_fold_are_learned_from_the_other(spark):
+    rows = [(f"common blorgish{k} you", 1, k) for k in (0, 1) for _ in range(40)] + [("common nice", 0, k) for k in (0, 1) for _ in range(40)]
+    every, without0, without1 = toxicity.learn_words(spark.createDataFrame(rows, "text string, toxic int, fold int"))
+    assert {b"0:blorgish0", b"0:blorgish1"} <= every and b"0:common" not in every
+    assert b"0:blorgish1" in without0 and b"0:blorgish0" not in without0 and b"0:blorgish0" in without1 and b"0:blorgish1" not in without1
+
+
 def test_toxicity_odd_rows(odd, none, spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (7, 0), (None, 1), (99, 1)], "doc_id long, toxic int")
     got = toxicity.score(odd, toxicity.learn(odd, labels)).collect()
