@@ -2,10 +2,12 @@
 
 Paragraphs are the lines of a text, and notices that are wrapped over lines. A softmax regression over the 1- to 3-grams of the templates' words (n-grams of
 common words alone left out, small weights pruned) gives each paragraph a licence family or `unknown`. It is trained
-here on the templates with words dropped, put in and cut off, against ordinary paragraphs: lines of at most SAMPLE
-documents, chosen by the hash of their text, and the templates' own words out of order. A temperature fitted on
-examples held out calibrates it; a family needs THRESHOLD. The prediction is confirmed if a template of that family
-has SHARED of its shingles (SHINGLE words; shorter templates: all their words as one) in the paragraph.
+here on the templates with words dropped, put in and cut off, against ordinary paragraphs: at most LINES stretches of
+STRETCH words of the lines of at most SAMPLE documents, both chosen by hashes (bounds of the training sample; what is
+scanned has none), and the templates' own words out of order. The temperature that calibrates it is fitted on wordings that
+had no part in training: the templates are dealt to FOLDS, and each fold is scored by a model of the others. A family needs
+THRESHOLD. The prediction is confirmed if a template of that family has SHARED of its shingles (SHINGLE words; shorter
+templates: all their words as one) in the paragraph.
 
 Wrapped notices are looked for in the joined words of consecutive lines that are not blank: least stretches that hold
 SHARED of a template's shingles, joined where they overlap up to twice the shortest, are classified and confirmed like
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import mapped, table
 
-SAMPLE = 2_000
-LINES = 4_000
+SAMPLE, LINES, STRETCH = 2_000, 2_000, 60
+COPIES, STEPS, FOLDS = 14, 60, 3
 THRESHOLD = 0.5
 SHINGLE, SHARED = 5, 0.8
 UNKNOWN = "unknown"
@@ -42,35 +44,82 @@ TEMPLATES = {
     "agpl": [
         "Licensed under the GNU Affero General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+        "You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     ],
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to you under the Apache License, Version 2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ],
+    "boost": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+    ],
     "bsd": [
         "Released under the BSD License.",
         "Licensed under the BSD 3-Clause License.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     ],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "cc0": ["Released into the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "cc0": [
+        "Released into the public domain under CC0 1.0.",
+        "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    ],
+    "epl": [
+        "Licensed under the Eclipse Public License 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU General Public License, version 2.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     ],
-    "isc": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"],
+    "isc": [
+        "Released under the ISC License.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "lgpl": [
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+    ],
     "mit": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     ],
-    "mpl": ["Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "mpl": [
+        "Licensed under the Mozilla Public License, version 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    ],
     "proprietary": ["All rights reserved.", "No part of this publication may be reproduced or distributed in any form without prior written permission of the publisher.", "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited."],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    ],
 }
 COMMON = frozenset(b"a above all an and any are as at be by can for form forms from has in into is it may met no not of on or other out part that the their this to under use with without work you v".split())
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 or c == 10 else 32 for c in range(256))
@@ -95,6 +144,26 @@ def shingles(own: list[bytes]) -> set[bytes]:
     return {b" ".join(own[i : i + SHINGLE]) for i in range(max(1, len(own) - SHINGLE + 1))}
 
 
+def softmax(score: np.ndarray) -> np.ndarray:
+    p = np.exp(score - score.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def fit(x: np.ndarray, y: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of a softmax regression over rows of zeros and ones, small weights pruned."""
+    truth = np.eye(classes, dtype=np.float32)[y]
+    w, b = np.zeros((x.shape[1], classes), np.float32), np.zeros(classes, np.float32)
+    square = np.full_like(w, 1e-6)
+    for _ in range(STEPS):
+        g = softmax(x @ w + b) - truth
+        step = x.T @ g / len(x) + 1e-5 * w
+        square += step**2
+        w -= 0.3 * step / np.sqrt(square)
+        b -= 0.5 * g.mean(0)
+    w[np.abs(w) < PRUNE] = 0
+    return w, b
+
+
 class Model:
     """Families, n-gram weights, temperature and the templates' shingles."""
 
@@ -112,53 +181,36 @@ class Model:
             own = frozenset(w for x in s for w in x.split()) - COMMON
             self.wrapped.append((own, len(own) - len(s) + need, s, min(n, SHINGLE), need))
         rng = np.random.default_rng(11)
-        noise = [w for t in negatives for w in words(t)[:40]] or [b"text"]
+        noise = [w for t in negatives for w in words(t)] or [b"text"]
         some = lambda n: [noise[i] for i in rng.integers(len(noise), size=n)]
-        rows, y = [], []
-        for _ in range(40):
-            for k, w in templates:
+        rows, y, of = [], [], []  # of: the template that a row was made from
+        for _ in range(COPIES):
+            for place, (k, w) in enumerate(templates):
                 own = [x for x in w if rng.random() > 0.08]
                 if rng.random() < 0.3:
                     own = own[: max(3, int(len(own) * rng.uniform(0.6, 1)))]
                 at = rng.integers(len(own) + 1)
-                own = some(rng.integers(0, 8)) + own[:at] + some(rng.integers(0, 2)) + own[at:] + some(rng.integers(0, 30))
-                rows.append(own)
-                y.append(k)
-                mixed = [w[i] for i in rng.permutation(len(w))[: rng.integers(1, max(2, len(w) // 2))]]
+                rows.append(some(rng.integers(0, 8)) + own[:at] + some(rng.integers(0, 2)) + own[at:] + some(rng.integers(0, 30)))
+                mixed = [w[i] for i in rng.permutation(len(w))[: rng.integers(1, max(2, min(12, len(w) // 2)))]]
                 rows.append(some(rng.integers(0, 30)) + mixed + some(rng.integers(0, 30)))
-                y.append(0)
+                y += [k, 0]
+                of += [place, place]
         parts = frozenset().union(*(s for _, s, _ in self.shingles))
         known = [t for t in negatives if not any(len(s & shingles(words(t))) >= SHARED * len(s) for _, s, _ in self.shingles)]
         known = [t for t in known if 2 * len(parts & (own := shingles(words(t)))) < len(own)]
         rows += [words(t) for t in known]
-        y += [0] * len(known)
+        y, of = np.array(y + [0] * len(known)), np.array(of + [*range(len(known))])
         x = np.zeros((len(rows), len(vocabulary)), np.float32)
         for i, own in enumerate(rows):
             x[i, [self.column[g] for g in grams(own) if g in self.column]] = 1
-        self.fit(x, np.array(y), rng)
-
-    def fit(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> None:
-        held = rng.random(len(y)) < 0.25
-        truth = np.eye(len(self.families), dtype=np.float32)[y]
-        w, b = np.zeros((x.shape[1], len(self.families)), np.float32), np.zeros(len(self.families), np.float32)
-        own, goal = x[~held], truth[~held]
-        square = np.zeros_like(w) + 1e-6
-        for _ in range(120):
-            score = own @ w + b
-            p = np.exp(score - score.max(1, keepdims=True))
-            g = p / p.sum(1, keepdims=True) - goal
-            step = own.T @ g / len(own) + 1e-5 * w
-            square += step**2
-            w -= 0.3 * step / np.sqrt(square)
-            b -= 0.5 * g.mean(0)
-        w[np.abs(w) < PRUNE] = 0
-        self.weights, self.bias = w, b
-        score = x[held] @ w + b
-        loss = {}
-        for t in np.geomspace(0.2, 5, 40):
-            s = score / t
-            loss[t] = (np.log(np.exp(s - s.max(1, keepdims=True)).sum(1)) + s.max(1) - s[np.arange(len(s)), y[held]]).mean()
-        self.temperature = float(min(loss, key=loss.get)) if len(score) else 1.0
+        scores = np.empty((len(y), len(self.families)), np.float32)
+        for k in range(FOLDS):
+            held = of % FOLDS == k
+            w, b = fit(x[~held], y[~held], len(self.families))
+            scores[held] = x[held] @ w + b
+        loss = {t: -np.log(softmax(scores / t)[np.arange(len(y)), y] + 1e-9).mean() for t in np.geomspace(0.2, 5, 40)}
+        self.temperature = float(min(loss, key=loss.get))
+        self.weights, self.bias = fit(x, y, len(self.families))
 
     def paragraph(self, own: list[bytes]) -> tuple[int, float, bool]:
         """Family, its calibrated probability and whether a template confirms it; family 0 is unknown."""
@@ -225,11 +277,13 @@ class Model:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model, with lines of at most `sample` documents as ordinary paragraphs."""
+    """The model, with stretches of lines of at most `sample` documents as ordinary paragraphs."""
     share = min(1.0, sample / max(1, docs.count()))
     chosen = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("text")
-    lines = chosen.select(F.explode(F.split("text", "\n")).alias("line")).select(F.substring("line", 1, 400).alias("line"))
-    held = lines.filter("trim(line) <> ''").distinct().orderBy(F.xxhash64("line"), "line").limit(LINES).collect()
+    lines = chosen.select(F.explode(F.split("text", "\n")).alias("line")).filter("trim(line) <> ''").select(F.split("line", " +").alias("words"))
+    starts = F.sequence(F.lit(1), F.size("words"), F.lit(STRETCH))
+    stretches = lines.select("words", F.explode(starts).alias("at")).select(F.array_join(F.slice("words", F.col("at"), STRETCH), " ").alias("line"))
+    held = stretches.filter(F.length("line") <= 100 * STRETCH).distinct().orderBy(F.xxhash64("line"), "line").limit(LINES).collect()
     return Model([r["line"].encode() for r in held])
 
 
