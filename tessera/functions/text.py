@@ -26,13 +26,12 @@ def snippet(text: Column, limit: int = 180) -> Column:
 
 def context_snippet(text: Column, start: Column, stop: Column, limit: int = 160) -> Column:
     """What surrounds [start, stop): half the limit on either side (24 at least), collapsed; a longer one is cut about
-    its middle, with dots."""
+    its middle, trimmed and given dots."""
     pad = max(24, limit // 2)
     low = F.greatest(start - pad, F.lit(0))
     short = collapse(F.substring(text, low + 1, stop + pad - low))
-    keep = limit - 3
-    middle = F.floor((F.length(short) - keep) / 2).cast("int")
-    return F.when(F.length(short) > limit, F.concat(F.substring(short, middle + 1, F.lit(keep)), F.lit("..."))).otherwise(short)
+    middle = F.floor((F.length(short) - limit) / 2).cast("int")
+    return F.when(F.length(short) > limit, F.concat(F.trim(F.substring(short, middle + 1, F.lit(limit - 3))), F.lit("..."))).otherwise(short)
 
 
 def clean_path(path: Column) -> Column:
@@ -71,3 +70,8 @@ def half_up(value: Column, places: int = 2) -> Column:
 def fingerprint(root: Column, exclusions: Column, version: str) -> Column:
     """SHA-1 of the JSON of root, sorted distinct exclusions and version."""
     return F.sha1(F.to_json(F.struct(root.alias("root"), F.array_sort(F.array_distinct(exclusions)).alias("exclusions"), F.lit(version).alias("version"))).cast("binary"))
+
+
+def in_locale(text: Column) -> Column:
+    """text as a key to sort by in the order of a dictionary (letters before their case and accents), not of code points."""
+    return F.collate(text, "UNICODE")

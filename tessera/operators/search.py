@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import name_score, under
+from tessera.functions.text import in_locale, name_score, under
 
 MAX_PAGE, PAGE = 200, 50
 
@@ -39,14 +39,20 @@ class Filters:
         return self.files() & F.col("kind").isin(self.kinds) if self.kinds else self.files()
 
 
-def root_place(roots: list[str]) -> Column:
+def root_place(roots: list[str], root: Column | None = None) -> Column:
     """The place of a row's root among the configured ones; unknown roots come last."""
+    root = F.col("root") if root is None else root
     out = F.lit(float(len(roots)))  # a whole number alone would be read as the number of a column
     for i, r in reversed(list(enumerate(roots))):
-        out = F.when(F.col("root") == r, float(i)).otherwise(out)
+        out = F.when(root == r, float(i)).otherwise(out)
     return out
 
 
+def by_path(*columns: str, locale: bool) -> list[Column]:
+    """Keys that sort by these text columns, with `locale` in dictionary order."""
+    return [in_locale(F.col(c)) if locale else F.col(c) for c in columns]
+
+
 def ordered(df: DataFrame, keys: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """The rows offset..offset+limit of df in this order, with their rank (from 1).
 
@@ -60,11 +66,11 @@ def scored(definitions: DataFrame, query: str, filters: Filters) -> DataFrame:
     return definitions.filter(filters.definitions()).withColumn("score", name_score(F.col("name"), query)).filter("score IS NOT NULL")
 
 
-def search(definitions: DataFrame, query: str, filters: Filters = Filters(), roots: list[str] | None = None, limit: int = PAGE) -> DataFrame:  # noqa: B008
-    """The best matches by score, root order, path and place. An empty query finds nothing."""
+def search(definitions: DataFrame, query: str, filters: Filters = Filters(), roots: list[str] | None = None, limit: int = PAGE, locale: bool = False) -> DataFrame:  # noqa: B008
+    """The best matches by score, root order, path (with `locale` in dictionary order) and place. An empty query finds nothing."""
     if not query.strip():
         return definitions.withColumn("score", F.lit(0)).withColumn("rank", F.lit(0)).limit(0)
-    keys = [F.col("score"), root_place(roots or filters.roots), F.col("root"), F.col("path"), F.col("start")]
+    keys = [F.col("score"), root_place(roots or filters.roots), *by_path("root", "path", locale=locale), F.col("start")]
     return ordered(scored(definitions, query, filters), keys, min(limit, MAX_PAGE))
 
 

@@ -430,7 +430,7 @@ def snippet(spark: SparkSession, d: str) -> DataFrame:
     return B.table(spark, d, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
 
 
-@register("context_snippet", f"""SELECT doc_id, CASE WHEN length(s) > 160 THEN substring(s, CAST(floor((length(s) - 157) / 2) AS BIGINT) + 1, 157) || '...' ELSE s END AS snippet
+@register("context_snippet", f"""SELECT doc_id, CASE WHEN length(s) > 160 THEN trim(substring(s, CAST(floor((length(s) - 160) / 2) AS BIGINT) + 1, 157)) || '...' ELSE s END AS snippet
 FROM (SELECT doc_id, {COLLAPSE.format('substring(text, lo + 1, pos + 90 - lo)')} AS s FROM (SELECT doc_id, text, doc_id % 300 AS pos, greatest(doc_id % 300 - 80, 0) AS lo FROM documents))""")
 def context_snippet(spark: SparkSession, d: str) -> DataFrame:
     at = (F.col("doc_id") % 300).cast("int")
