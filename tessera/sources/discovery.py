@@ -75,7 +75,7 @@ def listed(root: str, exclusions: list[str]) -> list[tuple[str, str, float, int]
     words, paths = {p for p in exclusions if "/" not in p}, [p.strip("/") for p in exclusions if "/" in p]
     gone = lambda rel: any(s in words for s in rel.split("/")) or any(rel == p or rel.startswith(p + "/") or f"/{p}/" in f"/{rel}/" for p in paths)
     out = []
-    for top, folders, names in os.walk(root):
+    for top, folders, names in os.walk(root):  # sorted by relative path below
         at = os.path.relpath(top, root).replace(os.sep, "/")
         join = lambda name, at=at: name if at == "." else f"{at}/{name}"
         folders[:] = sorted(f for f in folders if not gone(join(f)) and not os.path.islink(os.path.join(top, f)))
@@ -84,7 +84,7 @@ def listed(root: str, exclusions: list[str]) -> list[tuple[str, str, float, int]
             if not gone(join(name)) and os.path.isfile(full) and not os.path.islink(full):
                 stat = os.stat(full)
                 out.append((root, join(name), stat.st_mtime * 1000, stat.st_size))
-    return out
+    return sorted(out, key=lambda x: x[1])
 
 
 def discover(spark: SparkSession, roots: list[str], exclusions: list[str] | None = None) -> DataFrame:

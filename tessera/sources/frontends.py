@@ -16,6 +16,7 @@ import re
 import tokenize
 from dataclasses import dataclass, field
 
+from tessera.functions.snippets import context_snippet, snippet
 from tessera.sources.languages import register
 
 #: Kinds of nodes whose rows feed the metrics of a function.
@@ -46,6 +47,7 @@ class Scope:
     params: str | None = None
     returns: str | None = None
     base: str | None = None
+    implements: str | None = None
     callable: bool = False
     declares: bool = True
 
@@ -61,53 +63,77 @@ class Places:
         return line, at - self.starts[line - 1] + 1
 
 
-def shape(text: str, scopes: list[Scope], names: list[tuple[str, int]], calls: list[tuple[int, int, int]], marks: list[tuple[int, bool, bool, int]]) -> Parsed:
-    """Rows from scopes, identifiers (name, offset), calls (callee start, callee end, end) and nodes (offset, branch, statement, end)."""
+class Open:
+    """Of spans sorted by start, those that hold a place, for places asked for in ascending order."""
+
+    def __init__(self, spans: list, bounds):
+        self.spans, self.bounds, self.next, self.held = spans, bounds, 0, []
+
+    def at(self, start: int, stop: int) -> list:
+        """Spans that begin at start or before and end at stop or behind, in order."""
+        while self.next < len(self.spans) and self.bounds(self.spans[self.next])[0] <= start:
+            self.held.append(self.spans[self.next])
+            self.next += 1
+        self.held = [x for x in self.held if self.bounds(x)[1] > start]
+        return [x for x in self.held if stop <= self.bounds(x)[1]]
+
+
+def scope_bounds(s: Scope) -> tuple[int, int]:
+    return s.start, s.stop
+
+
+def shape(text: str, scopes: list[Scope], names: list[tuple[str, int]], calls: list[tuple[int, int, int, int]], marks: list[tuple[int, bool, bool, int]]) -> Parsed:
+    """Rows from scopes, identifiers (name, offset), calls (callee start, callee end, end, start) and nodes (offset, branch,
+    statement, end). One sweep over the text for each, so a long file takes time in proportion to its length and depth."""
     place, out = Places(text), Parsed()
     scopes = sorted(scopes, key=lambda s: (s.start, -s.stop))
     own = {s.at for s in scopes if s.name and s.declares}
 
-    def around(at: int, stop: int, strict: Scope | None = None) -> list[Scope]:
-        return [s for s in scopes if s is not strict and s.start <= at and stop <= s.stop and not (strict and (s.start, s.stop) == (strict.start, strict.stop))]
-
+    around = Open(scopes, scope_bounds)
     for s in scopes:
+        outer = [o for o in around.at(s.start, s.stop) if (o.start, o.stop) != (s.start, s.stop)]
         if not s.name or not s.kind:
             continue
-        outer = around(s.start, s.stop, s)
         held = [o for o in outer if o.kind in ("class", "interface") and o.name]
         line, column = place(s.start)
         out.definitions.append(
             {"kind": s.kind, "name": s.name, "container": held[-1].name if held else None, "start": s.start, "stop": s.stop, "sel_start": s.at, "sel_stop": s.at + len(s.name), "line": line, "column": column,
-             "params": s.params, "returns": s.returns, "base": s.base, "snippet": re.sub(r"\s+", " ", text[s.start : s.stop].strip())[:180]}
+             "params": s.params, "returns": s.returns, "base": s.base, "implements": s.implements, "snippet": snippet(text[s.start : s.stop])}
         )
     spans = sorted(calls)
-    for name, at in names:
+    around, calling = Open(scopes, scope_bounds), Open(spans, lambda c: (c[0], c[1]))
+    for name, at in sorted(names, key=lambda x: x[1]):
+        stop = at + len(name)
+        scopes_here, calls_here = around.at(at, stop), calling.at(at, stop)
         if at in own:
             continue
-        call = next(((a, b, e) for a, b, e in spans if a <= at and at + len(name) <= b), None)
-        inside = [s for s in around(at, at + len(name)) if s.context]
+        # The innermost call whose callee holds the name.
+        call = min(calls_here, key=lambda c: (c[2] - c[3], -c[3]), default=None)
+        inside = [s for s in scopes_here if s.context]
         held = [s for s in inside if s.kind in ("class", "interface", "function", "method") and s.name]
         near = inside[-1] if inside else None
         line, column = place(at)
-        pad = 80
         out.references.append(
-            {"ref_kind": "call" if call else "reference", "name": name, "start": call[0] if call else at, "stop": call[2] if call else at + len(name), "sel_start": at, "sel_stop": at + len(name), "line": line, "column": column,
-             "container": held[-1].name if held else None, "encl_name": near.name if near else None, "encl_kind": near.context if near else None,
-             "context": re.sub(r"\s+", " ", text[max(0, at - pad) : at + len(name) + pad].strip())[:160]}
+            {"ref_kind": "call" if call else "reference", "name": name, "start": call[3] if call else at, "stop": call[2] if call else stop, "sel_start": at, "sel_stop": stop, "line": line, "column": column,
+             "container": held[-1].name if held else None, "encl_name": near.name if near else None, "encl_kind": near.context if near else None, "context": context_snippet(text, at, stop)}
         )
-    for a, b, e in spans:
-        chain = [s.name or "(anonymous)" for s in around(a, e) if s.callable]
-        line, column = place(a)
-        named = [s.name for s in around(a, e) if s.callable and s.name]
-        out.calls.append({"callee": text[a:b], "start": a, "stop": e, "line": line, "column": column, "chain": chain, "function_name": named[-1] if named else None, "snippet": text[a:e][:120]})
+    around = Open(scopes, scope_bounds)
+    for a, b, e, first in spans:
+        callable_ = [s for s in around.at(a, e) if s.callable]
+        line, column = place(first)
+        named = [s.name for s in callable_ if s.name]
+        out.calls.append({"callee": text[a:b], "start": first, "stop": e, "line": line, "column": column, "chain": [s.name or "(anonymous)" for s in callable_], "function_name": named[-1] if named else None, "snippet": snippet(text[first:e], 120)})
+    marks = sorted(marks, key=lambda m: (m[0], -m[3]))
+    starts = [m[0] for m in marks]
     for s in scopes:
         if not s.callable:
             continue
-        inside = [(m, b, t, e) for m, b, t, e in marks if s.start <= m and e <= s.stop and (m, e) != (s.start, s.stop)]
-        branches = [(m, e) for m, b, _, e in inside if b]
-        depth = max((sum(1 for x, y in branches if x <= m and e <= y and (x, y) != (m, e)) for m, _, _, e in inside), default=0)
+        inside = [m for m in marks[bisect.bisect_left(starts, s.start) : bisect.bisect_right(starts, s.stop)] if m[3] <= s.stop and (m[0], m[3]) != (s.start, s.stop)]
+        depth, branches = 0, Open([m for m in inside if m[1]], lambda m: (m[0], m[3]))
+        for m in inside:
+            depth = max(depth, sum((x[0], x[3]) != (m[0], m[3]) for x in branches.at(m[0], m[3])))
         first, last = place(s.start)[0], place(max(s.start, s.stop - 1))[0]
-        out.functions.append({"name": s.name or "(anonymous)", "start": s.start, "stop": s.stop, "cyclomatic_complexity": 1 + len(branches), "statement_count": sum(t for _, _, t, _ in inside), "max_nesting_depth": depth, "lines_of_code": last - first + 1})
+        out.functions.append({"name": s.name or "(anonymous)", "start": s.start, "stop": s.stop, "cyclomatic_complexity": 1 + sum(m[1] for m in inside), "statement_count": sum(m[2] for m in inside), "max_nesting_depth": depth, "lines_of_code": last - first + 1})
     return out
 
 
@@ -143,7 +169,7 @@ def python(text: str) -> Parsed:
                 scopes.append(Scope("method" if in_class else "function", "function", node.name, start, stop, name_at, params=ast.unparse(node.args), returns=ast.unparse(node.returns) if node.returns else None, callable=True))
         elif isinstance(node, ast.Call):
             a, b = span(node.func)
-            calls.append((a, b, span(node)[1]))
+            calls.append((a, b, span(node)[1], a))
         if type(node) in branches:
             b, s = branches[type(node)]
             start, stop = span(node)
@@ -172,6 +198,10 @@ class Braces:
     receivers: bool = False  # func (r T) name
     impl: bool = False
     call_index: bool = True  # calls count as calls in the index
+    created: bool = False  # new is part of the call
+    abstract: bool = False  # methods without a body are definitions
+    declarations: bool = False  # functions that are declared only are definitions
+    constants: bool = False  # the constants of an enum are definitions
     arrows: bool = False
     keywords: frozenset[str] = frozenset()
 
@@ -187,14 +217,20 @@ TOKEN = re.compile(
     re.S,
 )
 CLOSE = {")": "(", "]": "[", "}": "{"}
+#: Tokens that may stand between the brackets of a function and its block: what it throws, its constraints and initialisers.
+HEAD = 120
 LINKS = {".", "->", "::", "?."}
+#: What may stand between the names of a declaration's parameters; a call would hold values.
+DECLARES = {"*", "&", "&&", ",", "::", "<", ">", "[", "]", "..."}
 
 
 def braces(text: str, grammar: Braces) -> Parsed:
     tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in TOKEN.finditer(text) if m.lastgroup not in ("space", "comment")]
     pair: dict[int, int] = {}
     stack: list[int] = []
+    outer: list[int] = []  # the bracket that each token stands in, -1 for none
     for i, (kind, s, at, _) in enumerate(tokens):
+        outer.append(stack[-1] if stack else -1)
         if kind != "mark":
             continue
         if s in "([{":
@@ -210,7 +246,7 @@ def braces(text: str, grammar: Braces) -> Parsed:
     word = lambda i: tokens[i][1] if 0 <= i < n else ""
     is_name = lambda i: 0 <= i < n and tokens[i][0] == "name" and tokens[i][1] not in grammar.keywords
     scopes: list[Scope] = []
-    calls: list[tuple[int, int, int]] = []
+    calls: list[tuple[int, int, int, int]] = []
     marks: list[tuple[int, bool, bool, int]] = []
     defined: set[int] = set()
 
@@ -235,20 +271,51 @@ def braces(text: str, grammar: Braces) -> Parsed:
         defined.add(i)
 
     class_ranges: list[tuple[int, int]] = []
+    bodies: set[int] = set()  # brackets that open the body of a class or interface
     for i in range(n):
         s = word(i)
         if tokens[i][0] != "name":
             continue
-        if s in grammar.classes | grammar.interfaces | grammar.variables and is_name(i + 1) and word(i - 1) not in LINKS:
+        if s == "typedef" and s in grammar.variables:
+            end = i + 1
+            while end < n and word(end) != ";":
+                end = pair[end] + 1 if word(end) in ("(", "[", "{") else end + 1
+            j = end - 1
+            while word(j) == "]":
+                j = pair[j] - 1
+            if is_name(j) and j > i:
+                add("variable", None, j, i, end, declares=False)
+        elif s == "delegate" and s in grammar.variables:
+            j = next((k for k in range(i + 1, min(n, i + 64)) if word(k) in ("(", ";", "{")), n)
+            if word(j) == "(" and is_name(j - 1):
+                add("variable", None, j - 1, i, end_of(j), declares=False)
+        elif s in grammar.classes | grammar.interfaces | grammar.variables and is_name(i + 1) and word(i - 1) not in LINKS and word(i + 2) not in (">", ",", ")"):  # not a parameter
             j = i + 1
             if grammar.impl and s == "impl":
                 j = next((k + 1 for k in range(i, min(n, i + 12)) if word(k) == "for"), j)
             last = end_of(j)
             kind = "class" if s in grammar.classes else "interface" if s in grammar.interfaces else "variable"
-            base = next((word(k + 1) for k in range(j, min(last, j + 12)) if word(k) in ("extends", ":")), None)
-            add(kind, {"class": "class", "interface": "interface"}.get(kind), j, i, last, declares=kind != "variable" and not grammar.impl, base=base)
+            opening = next((k for k in range(j, last + 1) if word(k) == "{"), last)
+            base = next((word(k + 1) for k in range(j, opening) if word(k) in ("extends", ":")), None)
+            at = next((k for k in range(j, opening) if word(k) == "implements"), opening)
+            given = text[tokens[at][3] : tokens[opening][2]].strip() if at < opening else ""
+            add(kind, {"class": "class", "interface": "interface"}.get(kind), j, i, last, declares=kind != "variable" and not grammar.impl, base=base, implements=re.sub(r"\s+", " ", given) or None)
             if kind == "class" or s == "impl":
                 class_ranges.append((i, last))
+            if kind != "variable" and word(opening) == "{":
+                bodies.add(opening)
+                k = opening + 1
+                while grammar.constants and s == "enum" and k < last:
+                    while word(k) == "@" and k < last:  # annotations
+                        k = pair[k + 2] + 1 if word(k + 2) == "(" else k + 2
+                    if not is_name(k):
+                        break
+                    z = pair[k + 1] if word(k + 1) == "(" else k
+                    z = pair[z + 1] if word(z + 1) == "{" else z
+                    add("variable", None, k, k, z, declares=False)
+                    if word(z + 1) != ",":
+                        break
+                    k = z + 2
 
     def in_class(i: int) -> bool:
         return any(a < i <= b for a, b in class_ranges)
@@ -284,7 +351,7 @@ def braces(text: str, grammar: Braces) -> Parsed:
         elif is_name(i) and word(i + 1) == "(" and i not in defined:
             after = pair[i + 1] + 1
             body = after
-            while grammar.typed and body < n and word(body) not in ("{", ";", "=", ")", ",", "}") and body < after + 12:
+            while grammar.typed and body < n and word(body) not in ("{", ";", "=", ")", ",", "}") and body < after + HEAD:
                 body = pair[body] + 1 if word(body) in ("(", "[") else body + 1
             if grammar.arrows and word(body) == ":" and in_class(i):
                 while body < n and word(body) not in ("{", ";"):
@@ -295,39 +362,52 @@ def braces(text: str, grammar: Braces) -> Parsed:
             if opens and (grammar.typed or (grammar.arrows and in_class(i))) and word(i - 1) not in (".", "->", "?."):
                 method = in_class(i)
                 add("method" if method else "function", "method" if method else "function", i, i if grammar.arrows else max(0, i - 1), pair[body], declares=grammar.arrows, params=text[tokens[i + 1][3] : tokens[pair[i + 1]][2]], callable=True)
+            elif grammar.abstract and word(body) == ";" and heads and before[1] not in LINKS and outer[i] in bodies:
+                method = in_class(i)
+                add("method" if method else "function", "method" if method else "function", i, max(0, i - 1), body, declares=False, params=text[tokens[i + 1][3] : tokens[pair[i + 1]][2]], callable=True)
+            elif grammar.declarations and word(after) == ";" and before[0] == "name" and heads and outer[i] not in bodies and all(t[0] == "name" or t[1] in DECLARES for t in tokens[i + 2 : pair[i + 1]]):
+                method = in_class(i)
+                add("method" if method else "function", "method" if method else "function", i, i - 1, after, declares=False, params=text[tokens[i + 1][3] : tokens[pair[i + 1]][2]])
     for i in range(n):
         s = word(i)
         if word(i + 1) == "(" and is_name(i) and i not in defined:
             first = i
-            while word(first - 1) in LINKS and (is_name(first - 2) or word(first - 2) in ("this", "super", "self")):
-                first -= 2
-            calls.append((tokens[first][2], tokens[i][3], tokens[pair[i + 1]][3]))
+            while word(first - 1) in LINKS:
+                k = first - 2
+                while word(k) in (")", "]"):  # what was called or looked up before
+                    k = pair[k] - 1
+                if not (is_name(k) or word(k) in ("this", "super", "self")):
+                    first = k + 1
+                    break
+                first = k
+            begin = first - 1 if grammar.created and word(first - 1) == "new" else first
+            calls.append((tokens[first][2], tokens[i][3], tokens[pair[i + 1]][3], tokens[begin][2]))
         if s in BRANCH_WORDS or s in STATEMENT_WORDS:
             last = end_of(pair[i + 1] + 1 if word(i + 1) == "(" else i + 1)
             marks.append((tokens[i][2], s in BRANCH_WORDS, s in STATEMENT_WORDS, tokens[min(last, n - 1)][3]))
         elif s == "?" or (s in BINARY and i and (tokens[i - 1][0] in ("name", "number", "string") or word(i - 1) in CLOSE) and tokens[i - 1][1] not in grammar.keywords):
             marks.append((tokens[i][2], True, False, tokens[i][3]))
-    marks += [(a, False, True, e) for a, _, e in calls]
+    marks += [(a, False, True, e) for a, _, e, _ in calls]
     names = [(t[1], t[2]) for i, t in enumerate(tokens) if is_name(i)]
     return shape(text, scopes, names, calls if grammar.call_index else [], marks) if grammar.call_index else unindexed(text, scopes, names, calls, marks)
 
 
-def unindexed(text: str, scopes: list[Scope], names: list[tuple[str, int]], calls: list[tuple[int, int, int]], marks: list[tuple[int, bool, bool, int]]) -> Parsed:
+def unindexed(text: str, scopes: list[Scope], names: list[tuple[str, int]], calls: list[tuple[int, int, int, int]], marks: list[tuple[int, bool, bool, int]]) -> Parsed:
     """Languages whose calls are listed, but whose references are none of them calls."""
     out = shape(text, scopes, names, [], marks)
     out.calls = shape(text, scopes, [], calls, []).calls
     return out
 
 
-SCRIPT = Braces(w("class"), w("interface"), function="function", arrows=True, keywords=COMMON - w("map from of type as is string int char float double bool boolean byte short long record final native params range select ref out auto register self use mod match where go"))
+SCRIPT = Braces(w("class"), w("interface"), function="function", arrows=True, created=True, keywords=COMMON - w("map from of type as is string int char float double bool boolean byte short long record final native params range select ref out auto register self use mod match where go"))
 GRAMMARS = {
     "javascript": SCRIPT,
     "typescript": SCRIPT,
     "tsx": SCRIPT,
     "c": Braces(w("struct enum union"), variables=w("typedef"), typed=True, keywords=COMMON - w("map string match self type record params go func fn")),
-    "cpp": Braces(w("class struct enum union"), variables=w("namespace"), typed=True, keywords=COMMON - w("map string match self type record params go func fn")),
-    "csharp": Braces(w("class struct enum record"), w("interface"), variables=w("namespace"), typed=True, call_index=False, keywords=COMMON - w("map match self type")),
-    "java": Braces(w("class enum record"), w("interface"), typed=True, call_index=False, keywords=COMMON - w("map match self type string")),
+    "cpp": Braces(w("class struct enum union"), variables=w("namespace typedef"), typed=True, created=True, declarations=True, keywords=COMMON - w("map string match self type record params go func fn")),
+    "csharp": Braces(w("class struct enum record"), w("interface"), variables=w("namespace delegate"), typed=True, call_index=False, abstract=True, keywords=COMMON - w("map match self type")),
+    "java": Braces(w("class enum record"), w("interface"), typed=True, call_index=False, abstract=True, constants=True, keywords=COMMON - w("map match self type string")),
     "go": Braces(w("type"), function="func", receivers=True, keywords=COMMON - w("match self")),
     "rust": Braces(w("struct enum impl"), w("trait"), variables=w("mod type"), function="fn", impl=True, keywords=COMMON - w("map string range")),
 }

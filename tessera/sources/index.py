@@ -1,7 +1,8 @@
 """The index: files read and parsed into four tables, kept as Parquet, refreshed by snapshot.
 
 One row a file holds its definitions, references, call sites and function metrics as arrays; the child tables are
-views that explode them. A build parses files in parallel tasks; a refresh parses only files that changed.
+views that explode them. A build parses files in parallel tasks; a refresh parses only files that changed. A file that
+cannot be read where it is parsed, or not be parsed, has a failure and no rows.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.refresh import classify
-from tessera.plans.shared import ship, written
+from tessera.plans.shared import delete, ship, written
 from tessera.sources import frontends  # noqa: F401  (registers the frontends)
 from tessera.sources.languages import FRONTENDS
 
-VERSION = "1"
+VERSION = "2"
+UNREADABLE = "the file cannot be read here"
 S, L = T.StringType(), T.LongType()
 
 
@@ -30,7 +32,7 @@ def _struct(strings: str, longs: str, *more: tuple[str, T.DataType]) -> T.ArrayT
 
 
 CHILDREN = {
-    "definitions": _struct("kind name container params returns base snippet", "start stop sel_start sel_stop line column"),
+    "definitions": _struct("kind name container params returns base implements snippet", "start stop sel_start sel_stop line column"),
     "references": _struct("ref_kind name container encl_name encl_kind context", "start stop sel_start sel_stop line column"),
     "calls": _struct("callee function_name snippet", "start stop line column", ("chain", T.ArrayType(S))),
     "functions": _struct("name", "start stop cyclomatic_complexity statement_count max_nesting_depth lines_of_code"),
@@ -38,30 +40,35 @@ CHILDREN = {
 RECORD = T.StructType([T.StructField(c, S) for c in ("root", "path", "language", "hash", "failure")] + [T.StructField("mtime", T.DoubleType()), T.StructField("size", L)] + [T.StructField(c, k) for c, k in CHILDREN.items()])
 
 
-def read_text(root: str, path: str) -> str:
-    """A local file's text; the empty text if it cannot be read."""
+def read_text(root: str, path: str) -> str | None:
+    """A local file's text; none if it cannot be read here."""
     try:
         with open(f"{root}/{path}", "rb") as f:
             return f.read().decode(errors="replace")
     except OSError:
-        return ""
+        return None
+
+
+def digest(text: str | None) -> str | None:
+    return None if text is None else hashlib.sha1(text.encode(errors="replace")).hexdigest()
 
 
 def parse(files: DataFrame) -> DataFrame:
     """Records of files (root, path, language, mtime, size, content; null content: a local file to read). A file that
-    cannot be read counts as empty; one that cannot be parsed has a failure and no rows; none fails the task."""
+    cannot be read or parsed has a failure and no rows; none fails the task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for f in batch.to_dict("records"):
                 text = f["content"] if f["content"] is not None else read_text(f["root"], f["path"])
-                out = frontends.Parsed()
-                try:
-                    out = FRONTENDS[f["language"]](text)
-                except Exception as e:  # noqa: BLE001  one file must not stop the others
-                    out.failure = f"{type(e).__name__}: {e}"
-                row = {c: f[c] for c in ("root", "path", "language", "mtime", "size")} | {"hash": hashlib.sha1(text.encode(errors="replace")).hexdigest(), "failure": out.failure}
+                out = frontends.Parsed(failure=UNREADABLE)
+                if text is not None:
+                    try:
+                        out = FRONTENDS[f["language"]](text)
+                    except Exception as e:  # noqa: BLE001  one file must not stop the others
+                        out = frontends.Parsed(failure=f"{type(e).__name__}: {e}")
+                row = {c: f[c] for c in ("root", "path", "language", "mtime", "size")} | {"hash": digest(text), "failure": out.failure}
                 rows.append(row | {c: getattr(out, c) if out.failure is None else [] for c in CHILDREN})
             yield pd.DataFrame(rows, columns=RECORD.names)
 
@@ -75,32 +82,65 @@ def child(records: DataFrame, name: str) -> DataFrame:
 
 
 def diagnostics(records: DataFrame) -> DataFrame:
-    return records.filter("failure IS NOT NULL").select(F.lit("parse_failed").alias("code"), F.lit("warning").alias("severity"), F.col("failure").alias("message"), "root", "path", "language")
+    code = F.when(F.col("failure") == UNREADABLE, "file_unreadable").otherwise("parse_failed")
+    return records.filter("failure IS NOT NULL").select(code.alias("code"), F.lit("warning").alias("severity"), F.col("failure").alias("message"), "root", "path", "language")
 
 
 def workspace_fingerprint(root: str, exclusions: list[str]) -> str:
     return hashlib.sha1(json.dumps({"root": root, "exclusions": sorted(set(exclusions)), "version": VERSION}, separators=(",", ":")).encode()).hexdigest()
 
 
+def aggregate_fingerprint(fingerprints: list[str]) -> str | None:
+    """Of several roots: a fingerprint of theirs, in order; of one, its own."""
+    if len(fingerprints) < 2:
+        return fingerprints[0] if fingerprints else None
+    return hashlib.sha1(json.dumps(fingerprints, separators=(",", ":")).encode()).hexdigest()
+
+
 class Store:
-    """Records of workspaces below one folder; each save is a new folder, and the manifest names the current one."""
+    """Records of workspaces below one folder; each save is a new generation, and the newest manifest names the current one.
+    The generation before stays, as answers may still read it; older ones, and those of another version or with another
+    number of rows than their manifest says, are deleted."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.last: dict = {"status": "missing"}
 
     def manifest(self, fingerprint: str) -> dict | None:
-        """The newest manifest; none if there is none or if it has another version."""
+        """The newest manifest, whatever its version; none if there is none."""
         try:
             rows = self.spark.read.json(f"{self.folder}/manifests/fingerprint={fingerprint}").orderBy(F.desc("generation")).limit(1).collect()
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER" in str(e):
                 return None
             raise
-        return rows[0].asDict() if rows and rows[0]["version"] == VERSION else None
+        return rows[0].asDict() if rows else None
+
+    def clear(self, fingerprint: str) -> None:
+        delete(self.spark, f"{self.folder}/manifests/fingerprint={fingerprint}")
+        delete(self.spark, f"{self.folder}/records/{fingerprint}")
 
     def load(self, fingerprint: str) -> DataFrame | None:
+        """The records, or none; `last` says how it went: loaded, missing, schema_mismatch or invalid."""
         m = self.manifest(fingerprint)
-        return self.spark.read.schema(RECORD).parquet(f"{self.folder}/records/{fingerprint}/{m['generation']}") if m else None
+        if m is None:
+            self.last = {"status": "missing"}
+            return None
+        if m["version"] != VERSION:
+            self.clear(fingerprint)
+            self.last = {"status": "schema_mismatch", "expected": VERSION, "actual": m["version"]}
+            return None
+        try:
+            records = self.spark.read.schema(RECORD).parquet(f"{self.folder}/records/{fingerprint}/{m['generation']}")
+            found = records.count()
+        except Exception as e:  # noqa: BLE001  whatever is wrong with the files, the index is built anew
+            found = str(e)
+        if found != m["files"]:
+            self.clear(fingerprint)
+            self.last = {"status": "invalid", "reason": f"the manifest has {m['files']} records, the files {found}"}
+            return None
+        self.last = {"status": "loaded"}
+        return records
 
     def save(self, fingerprint: str, records: DataFrame, state: str, now: str | None = None) -> DataFrame:
         generation = ((self.manifest(fingerprint) or {}).get("generation") or 0) + 1
@@ -109,33 +149,49 @@ class Store:
         saved = self.spark.read.schema(RECORD).parquet(path)
         facts = [(VERSION, generation, state, now or datetime.now(UTC).isoformat(), saved.count())]
         self.spark.createDataFrame(facts, "version string, generation long, state string, saved_at string, files long").coalesce(1).write.mode("append").json(f"{self.folder}/manifests/fingerprint={fingerprint}")
+        if generation > 2:
+            delete(self.spark, f"{self.folder}/records/{fingerprint}/{generation - 2}")
         return saved
 
 
 def hashed(files: DataFrame) -> DataFrame:
-    """root, path, mtime, size and the SHA-1 of the content of files; what cannot be read counts as empty."""
+    """root, path, mtime, size and the SHA-1 of the content of files; null for what cannot be read."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [c if c is not None else read_text(r, p) for r, p, c in zip(batch["root"], batch["path"], batch["content"], strict=True)]
-            yield batch.drop(columns="content").assign(hash=[hashlib.sha1(t.encode(errors="replace")).hexdigest() for t in texts])
+            yield batch.drop(columns="content").assign(hash=[digest(t) for t in texts])
 
     ship(files.sparkSession)
     return files.select("root", "path", "mtime", "size", "content").mapInPandas(run, "root string, path string, mtime double, size long, hash string")
 
 
-def refresh(store: Store, fingerprint: str, files: DataFrame) -> tuple[DataFrame, DataFrame | None, str]:
+def snapshots(files: DataFrame, old: DataFrame, stat_only: bool) -> DataFrame:
+    """root, path, mtime, size and hash of files now. With stat_only, those whose time and size have not changed are not
+    read: their hash counts as what it was."""
+    if not stat_only:
+        return hashed(files)
+    known = old.select("root", "path", F.struct("mtime", "size").alias("was"), F.col("hash").alias("known"))
+    both = files.join(known, ["root", "path"], "left")
+    same = F.coalesce(F.col("was") == F.struct("mtime", "size"), F.lit(False))
+    return both.filter(same).select("root", "path", "mtime", "size", F.col("known").alias("hash")).unionByName(hashed(both.filter(~same)))
+
+
+def refresh(store: Store, fingerprint: str, files: DataFrame, stat_only: bool = False) -> tuple[DataFrame, DataFrame | None, str]:
     """Records that are up to date, what changed (root, path, status; none for a first build) and the freshness state.
 
     A file is unchanged if time, size and hash are equal; the others are parsed anew, removed ones leave.
     """
     old = store.load(fingerprint)
+    worse = lambda records, state: "degraded" if not records.filter("failure IS NOT NULL").isEmpty() else state
     if old is None:
-        return store.save(fingerprint, parse(files), "fresh"), None, "fresh"
+        built = store.save(fingerprint, parse(files), "fresh")
+        return built, None, worse(built, "fresh")
     known = files.filter("language IS NOT NULL")
-    changes = written(classify(old.select("root", "path", "mtime", "size", "hash"), hashed(known)).filter("status <> 'unchanged'"), "changes")
+    changes = written(classify(old.select("root", "path", "mtime", "size", "hash"), snapshots(known, old, stat_only)).filter("status <> 'unchanged'"), "changes")
     if changes.isEmpty():
-        return old, changes, "degraded" if not old.filter("failure IS NOT NULL").isEmpty() else "fresh"
+        return old, changes, worse(old, "fresh")
     parsed = parse(known.join(changes.filter("status <> 'removed'"), ["root", "path"], "left_semi"))
     kept = old.join(changes, ["root", "path"], "left_anti")
     saved = store.save(fingerprint, kept.select(*RECORD.names).unionByName(parsed), "refreshed")
-    return saved, changes, "degraded" if not saved.filter("failure IS NOT NULL").isEmpty() else "refreshed"
+    return saved, changes, worse(saved, "refreshed")

@@ -3,6 +3,7 @@
 import pytest
 
 from tessera.plans.engine import Engine
+from tessera.sources import index
 from tessera.sources.discovery import RequestError
 
 CORE = """function sanitizeName(n) { return n; }
@@ -54,8 +55,10 @@ def test_references(engine):
     out = engine.search_references("helper", limit=3)
     assert out.facts["pagination"] == {"limit_": 3, "offset_": 0, "returned": 3, "total": 7, "has_more": True, "next_offset": 3}
     assert [r["ref_kind"] for r in out.rows.collect()] == ["call", "call", "call"]
-    assert {d["code"] for d in out.diagnostics} == {"parse_failed"}
+    assert {d["code"] for d in out.diagnostics} == {"parse_failed", "index_degraded"}
     assert engine.search_references("orchestrate").diagnostics[0]["code"] == "reference_not_found"
+    uses = engine.list_file_references("src/core.ts", symbol="HELPER").rows.collect()
+    assert uses and {r["name"] for r in uses} == {"helper"}
 
 
 def test_relationships(engine):
@@ -94,11 +97,12 @@ def test_refresh(engine, root):
     assert engine.records()[1]["freshness"] == "degraded"  # a broken file
     (root / "src" / "broken.ts").write_text("function mended() { return helper(1); }")
     records, facts = engine.records()
-    assert facts == {"freshness": "refreshed", "refreshed_files": ["src/broken.ts"]}
+    assert (facts["freshness"], facts["refreshed_files"], facts["refreshed_count"], facts["degraded_files"]) == ("refreshed", ["src/broken.ts"], 1, [])
     assert ("incoming_call", "mended") in {(r["edge_kind"], r["related"]["name"]) for r in engine.relationship_view("helper").rows.collect()}
     (root / "src" / "broken.ts").unlink()
     assert engine.records()[1]["refreshed_files"] == ["src/broken.ts"]
-    assert engine.records()[1] == {"freshness": "fresh", "refreshed_files": []}
+    facts = engine.records()[1]
+    assert (facts["freshness"], facts["refreshed_files"], facts["degraded_count"]) == ("fresh", [], 0)
 
 
 def test_two_roots(spark, tmp_path):
@@ -129,3 +133,160 @@ def test_a_store_that_only_spark_reads(spark, tmp_path, root):
     assert sorted(r["path"] for r in engine.files().collect()) == ["notes.txt", "src/broken.ts", "src/core.ts", "src/view.tsx"]
     assert [r["name"] for r in engine.search_definitions("helper").rows.collect()] == ["helper"]
     assert engine.records()[1]["freshness"] == "degraded"
+
+
+@pytest.fixture
+def two(spark, tmp_path):
+    """Root a has 121 callers of bridge, root b one in Python and one in JavaScript; configured as b, a."""
+    roots = [str(tmp_path / name) for name in ("a", "b")]
+    for r in roots:
+        (tmp_path / r / "src").mkdir(parents=True)
+    (tmp_path / "a" / "src" / "many.py").write_text("def bridge():\n    return 1\n" + "".join(f"def caller{i:03d}():\n    return bridge()\n" for i in range(121)))
+    (tmp_path / "b" / "src" / "one.py").write_text("def only():\n    return bridge()\ndef above():\n    return only()\n")
+    (tmp_path / "b" / "src" / "one.js").write_text("function bridge() { return other(); }\nfunction script() { return bridge(); }\n")
+    engine = Engine(spark, f"file://{tmp_path}/index")
+    engine.set_workspace(roots=roots[::-1])
+    return engine, roots
+
+
+def test_filters_come_before_the_budget(two):
+    engine, (a, b) = two
+    lookup = {"name": "bridge", "root": a, "language": "python"}
+    for depth in (1, 2):
+        rows = engine.relationship_view(lookup=lookup, roots=[b], depth=depth).rows.collect()
+        assert {(r["hop"], r["related"]["name"]) for r in rows} == {(1, "only"), (2, "above")} - ({(2, "above")} if depth == 1 else set())
+    everything = engine.relationship_view(lookup=lookup, depth=2)
+    assert everything.facts["budget_reached"] and any(d["code"] == "relationship_budget_reached" for d in everything.diagnostics)
+    assert engine.relationship_view(lookup=lookup, language="javascript", depth=2).rows.count() == 0
+    python = engine.relationship_view(lookup=lookup, roots=[b], language="Python", depth=2).rows.collect()
+    assert {r["related"]["name"] for r in python} <= {"only", "above"} and python
+
+
+def test_roots_come_as_configured(two):
+    engine, (a, b) = two
+    rows = engine.relationship_view(lookup={"name": "bridge", "root": a, "language": "python"}, limit=3).rows.collect()
+    assert [r["related"]["root"] for r in rows] == [b, a, a]
+    found = engine.dependency_analysis(lookup={"name": "bridge", "root": a, "language": "python"}, depth=1).rows.collect()
+    assert [r["root"] for r in found][:2] == [b, a] and len(found) == 50
+    only = engine.dependency_analysis(lookup={"name": "bridge", "root": a, "language": "python"}, roots=[b], depth=3).rows.collect()
+    assert {(r["name"], r["depth"]) for r in only} == {("only", 1), ("above", 2)}
+    assert engine.dependency_analysis(lookup={"name": "bridge", "root": a, "language": "python"}, language="javascript").rows.count() == 0
+    uses = engine.search_references(lookup={"name": "bridge", "root": a, "language": "python"}, limit=2).rows.collect()
+    assert [r["root"] for r in uses] == [b, a]
+
+
+def test_a_duplicate_past_the_limit_marks_the_budget(spark, monkeypatch):
+    from tessera.operators import graph
+
+    columns = "root string, path string, language string, kind string, name string, start long, stop long"
+    defs = spark.createDataFrame([("r", "p", "python", "function", n, s, e) for n, s, e in (("seed", 0, 9), ("outer", 100, 199), ("inner", 150, 180), ("leaf", 300, 309))], columns)
+    refs = spark.createDataFrame([("r", "p", "python", "call", n, s, w, "function") for n, s, w in (("seed", 110, "outer"), ("seed", 160, "inner"), ("leaf", 170, "inner"))], "root string, path string, language string, ref_kind string, name string, start long, encl_name string, encl_kind string")
+    seed = defs.filter("name = 'seed'").first().asDict()
+    edges, reached = graph.relationship_view(refs, defs, seed, 2, kinds=["incoming_call", "outgoing_call"])
+    # Both outer and inner hold the call of leaf at 170, and that of seed at 160: equal edges of two nodes.
+    n = edges.count()
+    assert not reached
+    for limit, want in ((n, True), (n + 1, False), (n - 1, True)):
+        monkeypatch.setattr(graph, "edge_limit", lambda *_, limit=limit: limit)
+        edges, reached = graph.relationship_view(refs, defs, seed, 2, kinds=["incoming_call", "outgoing_call"])
+        assert (edges.count(), reached) == (min(limit, n), want)
+
+
+def test_dictionary_order(spark, tmp_path):
+    (tmp_path / "ws").mkdir()
+    for name in ("b.py", "A.py", "a.py", "B.py", "_x.py", "\u00e9.py"):
+        (tmp_path / "ws" / name).write_text("def same():\n    pass\n")
+    engine = Engine(spark, f"file://{tmp_path}/index")
+    answer = engine.set_workspace(str(tmp_path / "ws"))
+    want = ["_x.py", "a.py", "A.py", "b.py", "B.py", "\u00e9.py"]
+    assert [r["path"] for r in engine.search_definitions("same").rows.collect()] == want
+    assert [x["path"] for x in answer.facts["searchable_sample"]] == want
+
+
+def test_what_cannot_be_read_is_said(engine, root):
+    import json
+    import shutil
+
+    health = engine.health()
+    assert {d["code"] for d in health.diagnostics} == {"index_degraded"} and health.facts["degraded_files"] == ["src/broken.ts"]
+    assert [x["path"] for x in health.facts["unsupported_sample"]] == ["notes.txt"] and health.facts["index"]["indexed_files"] == 3
+    assert health.facts["index"]["by_root"] == {str(root): (3, 1)}
+    (root / "src" / "view.tsx").write_text("function broken( {")
+    assert {d["code"] for d in engine.search_definitions("helper").diagnostics} == {"index_degraded", "index_refresh_failed"}
+    files = engine.files().filter("path = 'src/core.ts'")
+    (root / "src" / "core.ts").unlink()  # listed, and gone when it is parsed
+    (row,) = index.parse(files).collect()
+    assert row["failure"] == index.UNREADABLE and row["hash"] is None and row["definitions"] == []
+    assert index.diagnostics(index.parse(files)).first()["code"] == "file_unreadable"
+    with pytest.raises(RequestError, match="cobol") as e:
+        engine.search_definitions("helper", language="cobol")
+    assert e.value.code == "unsupported_language"
+    out = json.loads(engine.search_definitions("Panel").to_json())
+    assert out["rows"] == [] and out["facts"]["total"] == 0 and out["diagnostics"]
+    shutil.rmtree(root)
+    assert engine.set_workspace(str(root.parent)).facts["freshness"] in ("fresh", "degraded")
+
+
+def test_the_store_checks_what_it_loads(spark, tmp_path, root, monkeypatch):
+    engine = Engine(spark, f"file://{tmp_path}/index")
+    engine.set_workspace(str(root))
+    (fingerprint,) = engine.fingerprints()
+    for _ in range(3):
+        engine.store.save(fingerprint, engine.records()[0], "refreshed")
+    assert sorted(p.name for p in (tmp_path / "index" / "records" / fingerprint).iterdir()) == ["3", "4"]
+    part = next((tmp_path / "index" / "records" / fingerprint / "4").glob("*.parquet"))
+    part.unlink()
+    assert engine.store.load(fingerprint) is None and engine.store.last["status"] == "invalid"
+    assert engine.records()[0].count() == 3 and engine.store.last["status"] == "missing"
+    monkeypatch.setattr(index, "VERSION", "999")
+    monkeypatch.setattr(engine, "fingerprints", lambda: [fingerprint])
+    assert "index_schema_mismatch" in {d["code"] for d in engine.health().diagnostics}
+    assert engine.store.manifest(fingerprint)["version"] == "999"
+
+
+def test_requests_at_once_share_a_refresh(engine, monkeypatch):
+    import threading
+
+    times, go = [], threading.Event()
+    real = engine.refreshed
+
+    def slow():
+        times.append(1)
+        go.wait(30)
+        return real()
+
+    monkeypatch.setattr(engine, "refreshed", slow)
+    out = []
+    threads = [threading.Thread(target=lambda: out.append(engine.records()[1]["freshness"])) for _ in range(4)]
+    for t in threads:
+        t.start()
+    while not times:
+        pass
+    threading.Timer(0.5, go.set).start()
+    for t in threads:
+        t.join()
+    assert out == ["degraded"] * 4 and len(times) == 1
+
+
+def test_time_and_size_alone_can_decide(spark, tmp_path, root):
+    import os
+
+    engine = Engine(spark, f"file://{tmp_path}/index", stat_only=True)
+    engine.set_workspace(str(root))
+    path = root / "src" / "view.tsx"
+    at = os.stat(path)
+    path.write_text(VIEW.replace("Panel", "Other"))
+    os.utime(path, ns=(at.st_atime_ns, at.st_mtime_ns))
+    assert engine.records()[1]["refreshed_files"] == []
+    assert Engine(spark, f"file://{tmp_path}/other").set_workspace(str(root)) and engine.records()[1]["refreshed_files"] == []
+    os.utime(path, ns=(at.st_atime_ns, at.st_mtime_ns + 5_000_000_000))
+    assert engine.records()[1]["refreshed_files"] == ["src/view.tsx"]
+
+
+def test_implements_of_a_symbol(spark, tmp_path):
+    (tmp_path / "ws").mkdir()
+    (tmp_path / "ws" / "a.ts").write_text("class A extends B implements C, D { run() { return 1; } }")
+    engine = Engine(spark, f"file://{tmp_path}/index")
+    engine.set_workspace(str(tmp_path / "ws"))
+    facts = engine.symbol_context("A").facts
+    assert facts["extends"] == "B" and facts["implements"] == ["C", "D"] and facts["signature"] == "class A extends B"

@@ -46,7 +46,7 @@ def test_python_rows():
     ("language", "text", "want"),
     [
         ("javascript", "function f() { return 1 }\nconst g = function (x) { return x }\nclass H { run() { return f() } }\n", [("function", "f"), ("variable", "g"), ("class", "H"), ("method", "run")]),
-        ("java", "public class A { enum E { X } interface I { void f(); } A(int x) { } public int run(String s) throws Ex { return go(s); } }", [("class", "A"), ("class", "E"), ("interface", "I"), ("method", "A"), ("method", "run")]),
+        ("java", "public class A { enum E { X } interface I { void f(); } A(int x) { } public int run(String s) throws Ex { return go(s); } }", [("class", "A"), ("class", "E"), ("variable", "X"), ("interface", "I"), ("method", "f"), ("method", "A"), ("method", "run")]),
         ("csharp", "namespace N { public class A { int Run(int x) { return Go(x); } } struct S { } interface I { } }", [("variable", "N"), ("class", "A"), ("method", "Run"), ("class", "S"), ("interface", "I")]),
         ("go", "package p\ntype T struct { a int }\nfunc (t *T) Run(x int) int { return help(x) }\nfunc help(x int) int { return x }", [("class", "T"), ("method", "Run"), ("function", "help")]),
         ("rust", "struct S { a: i32 }\nimpl S { fn run(&self) -> i32 { help(1) } }\ntrait T { fn f(&self); }\nfn help(x: i32) -> i32 { x }", [("class", "S"), ("class", "S"), ("method", "run"), ("interface", "T"), ("function", "help")]),
@@ -83,3 +83,62 @@ def test_language_table():
         register("python", lambda t: t)
     with pytest.raises(ValueError):
         register("other", lambda t: t, (".py",))
+
+
+@pytest.mark.parametrize(
+    ("language", "text", "want"),
+    [
+        ("cpp", "int add(int a, const T& b);\nnamespace n { void go(); }\nint main() { A a(1); int x = add(1, 2); return go(x); }", [("function", "add"), ("variable", "n"), ("function", "go"), ("function", "main")]),
+        ("cpp", "typedef unsigned long Size;\ntypedef struct { int x; } Pair;\nstruct S { int f(int x); };", [("variable", "Size"), ("variable", "Pair"), ("class", "S")]),
+        ("c", "typedef struct P { int x; } Q;\ntypedef int Row[4];", [("variable", "Q"), ("class", "P"), ("variable", "Row")]),
+        ("csharp", "delegate int Op(int x);\ninterface I { int Run(int x); }\nabstract class A { public abstract void Go(); void Do() { Go(); } }", [("variable", "Op"), ("interface", "I"), ("function", "Run"), ("class", "A"), ("method", "Go"), ("method", "Do")]),
+        ("java", "@interface Mark { }\nenum E { A(1) { int f() { return 1; } }, @Old B, C; int g() { return 2; } }", [("interface", "Mark"), ("class", "E"), ("variable", "A"), ("method", "f"), ("variable", "B"), ("variable", "C"), ("method", "g")]),
+        ("cpp", "template <class T> auto f(T x) noexcept(noexcept(g(x))) -> decltype(g(x) + h(x) + k(x) + m(x) + n(x)) { return g(x); }", [("function", "f")]),
+    ],
+)
+def test_more_definitions(language, text, want):
+    got = [x[:2] for x in names(language, text)]
+    assert [x for x in got if x in want] == want and len(got) <= len(want) + (language == "cpp" and "template" in text)
+
+
+def test_calls_through_calls():
+    text = "function f() { return first(arg).second(b).third; }\nconst x = new Box(f());"
+    out = FRONTENDS["javascript"](text)
+    refs = {r["name"]: (r["ref_kind"], text[r["start"] : r["stop"]]) for r in out.references}
+    assert refs["first"] == ("call", "first(arg)") and refs["second"] == ("call", "first(arg).second(b)")
+    assert refs["arg"] == ("call", "first(arg).second(b)") and refs["b"][0] == refs["third"][0] == "reference"
+    assert refs["Box"] == ("call", "new Box(f())") and [c["callee"] for c in out.calls] == ["first", "first(arg).second", "Box", "f"]
+
+
+def test_implements():
+    rows = FRONTENDS["typescript"]("class A extends B implements C, D { run() { return 1; } }").definitions
+    assert (rows[0]["base"], rows[0]["implements"]) == ("B", "C, D")
+
+
+def test_snippets_are_those_of_the_column_functions(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import snippets
+    from tessera.functions import text as T
+
+    texts = ["a  b\n c", "x" * 400, "word " * 100, "", " lead", "word  " * 30 + "end"]
+    rows = spark.createDataFrame([(t, s) for t in texts for s in (0, 3, 90, 150) if s + 10 <= max(10, len(t))], "t string, s int")
+    got = rows.select("t", "s", T.snippet(F.col("t")).alias("a"), T.context_snippet(F.col("t"), F.col("s"), F.col("s") + 10).alias("b")).collect()
+    for r in got:
+        assert (r["a"], r["b"]) == (snippets.snippet(r["t"]), snippets.context_snippet(r["t"], r["s"], r["s"] + 10))
+    long = snippets.context_snippet("a " * 200, 200, 210)
+    assert long.endswith("...") and not long[:-3].endswith(" ") and len(long) <= 160
+
+
+def test_a_long_file_takes_time_in_proportion():
+    import time
+
+    body = "function f{i}(a) {{ if (a) {{ return g{i}(a).h(b) + 1; }} return a; }}\n"
+    took = []
+    for n in (1_000, 4_000):
+        text = "".join(body.format(i=i) for i in range(n))
+        began = time.process_time()
+        out = FRONTENDS["javascript"](text)
+        took.append(time.process_time() - began)
+        assert len(out.definitions) == len(out.functions) == n
+    assert took[1] < 10 * took[0]
