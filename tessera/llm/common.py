@@ -15,6 +15,14 @@ from tessera.plans.shared import written as materialize
 #: A Python worker works on so many rows at once, and on so many bytes if they are more than one row. Spark itself hands
 #: over batches of 64 MB at most.
 BATCH, BATCH_BYTES = 1_000, 8 << 20
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """For jobs (the registered queries and the pipeline): Spark hands over BATCH rows at once, unless the session says
+    another number than Spark's own. Operators leave the session's settings alone."""
+    if spark.conf.get(ROWS_PER_BATCH) == "10000":
+        spark.conf.set(ROWS_PER_BATCH, str(BATCH))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

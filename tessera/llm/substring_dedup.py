@@ -137,32 +137,39 @@ def spans(docs: DataFrame, least: int = LEAST, within: bool = False, rid: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for rid, doc_id, parts in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "parts")), strict=True):
+            column = batch.column("parts")
+            at = column.offsets.to_numpy()
+            at = (at - at[0]).tolist()
+            place, digest, start, after, words, keeper = (c.to_numpy().tolist() for c in column.flatten().flatten())
+            for row, (rid, doc_id) in enumerate(zip(batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)):
                 met: set[int] = set()
-                k = 0
-                while k < len(parts):
+                own = LAST if doc_id is None else doc_id
+                k, end = at[row], at[row + 1]
+                while k < end:
                     j = k + 1
-                    while j < len(parts) and parts[j]["place"] == parts[j - 1]["place"] + 1:
+                    while j < end and place[j] == place[j - 1] + 1:
                         j += 1
-                    own = parts[k:j]
+                    span = range(k, j)
                     k = j
-                    words = sum(p["words"] for p in own)
-                    if words < least:
+                    many = sum(words[span.start : j])
+                    if many < least:
                         continue
                     cuts, removed = [], 0
-                    for p in own:
-                        if p["keeper"] == (LAST if doc_id is None else doc_id) and p["digest"] not in met:
-                            met.add(p["digest"])
+                    for i in span:
+                        if keeper[i] == own and digest[i] not in met:
+                            met.add(digest[i])
                             continue
-                        removed += p["words"]
-                        cuts.append({"start": p["start"], "after": p["after"]})
-                    keep = min(p["keeper"] for p in own)
-                    out.append((rid, doc_id, own[0]["start"], own[-1]["after"], words, None if keep == LAST else keep, removed, cuts))
-            yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
+                        removed += words[i]
+                        cuts.append((start[i], after[i]))
+                    keep = min(keeper[span.start : j])
+                    out.append((rid, doc_id, start[span.start], after[j - 1], many, None if keep == LAST else keep, removed, cuts))
+            sizes = np.cumsum([0, *(len(r[-1]) for r in out)], dtype=np.int32)
+            flat = np.array([c for r in out for c in r[-1]], np.int32).reshape(-1, 2)
+            cuts = pa.ListArray.from_arrays(pa.array(sizes), pa.StructArray.from_arrays([pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], ["start", "after"]))
+            yield pa.record_batch([*[pa.array([r[i] for r in out], t) for i, t in enumerate(types)], cuts], names)
 
     names = ["rid", "doc_id", "start", "after", "n_words", "keep_doc_id", "n_removed", "cuts"]
-    cut = pa.list_(pa.struct([("start", pa.int32()), ("after", pa.int32())]))
-    types = [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.int64(), pa.int32(), cut]
+    types = [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.int64(), pa.int32()]
     return mapped(marked(docs, within, rid), run, "rid long, doc_id long, start int, after int, n_words int, keep_doc_id long, n_removed int, cuts array<struct<start:int,after:int>>")
 
 

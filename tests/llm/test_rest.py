@@ -10,6 +10,36 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tessera.llm import decontamination, packing, url_filter
 
+# --- shared ---
+
+
+def test_slices_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "BATCH_BYTES", 1_000)
+    texts = ["x" * n for n in (10, 20, 5_000, 30, 2_500, 2_500, *[5] * 3_000)]
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    parts = list(common.sliced(batch))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert all(p.num_rows == 1 or (p.nbytes <= 2_000 and p.num_rows <= common.BATCH) for p in parts)
+    assert [p.num_rows for p in common.sliced(batch.slice(0, 0))] == [0]
+
+
+def test_operators_leave_the_session_alone(spark, odd):
+    from tessera.llm import lang_id, registry
+    from tessera.llm.common import ROWS_PER_BATCH
+
+    before = {r["key"]: r["value"] for r in spark.sql("SET").collect()}
+    lang_id.identify(odd).collect()
+    assert {r["key"]: r["value"] for r in spark.sql("SET").collect()} == before
+    spark.conf.set(ROWS_PER_BATCH, "77")
+    registry.QUERIES["op9_pii"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get(ROWS_PER_BATCH) == "77"
+    spark.conf.unset(ROWS_PER_BATCH)
+
+
 # --- packing ---
 
 
