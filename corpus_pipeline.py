@@ -19,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontamination, exact_dedup, lang_id, packing, simhash
-from tessera.llm.common import forget, materialize, table
+from tessera.llm.common import forget, materialize, small_batches, table
 from tessera.plans import shared
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)  # for all stages that follow
     return lang_id.keep_identified(docs)
 
 
