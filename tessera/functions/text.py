@@ -50,6 +50,19 @@ def under(path: Column, prefix: str) -> Column:
     return (path == prefix) | path.startswith(prefix + "/")
 
 
+def longest_owner(path: Column, owners: list[tuple[str, str]]) -> Column:
+    """The owner (name, prefix) whose prefix holds the path, by whole segments; of several the longest, an empty one holds all."""
+    out = F.lit(None).cast("string")
+    for name, prefix in sorted(owners, key=lambda x: len(x[1])):
+        out = F.when(under(path, prefix) if prefix else F.lit(True), name).otherwise(out)
+    return out
+
+
+def content_hash(content: Column) -> Column:
+    """SHA-1 of a text in UTF-8; a null one counts as empty."""
+    return F.sha1(F.coalesce(content, F.lit("")).cast("binary"))
+
+
 def excluded(path: Column, patterns: list[str]) -> Column:
     """A pattern without a slash excludes paths with a segment equal to it; one with a slash the path itself, what lies
     below it, and paths that hold it between slashes."""

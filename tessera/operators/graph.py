@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.resolve import COMPATIBLE, owners, three_tiers
+from tessera.operators.resolve import COMPATIBLE, named, owners, three_tiers
 from tessera.operators.search import by_path, root_place
 from tessera.plans.shared import written
 
@@ -46,9 +46,7 @@ def outgoing(references: DataFrame, definitions: DataFrame, nodes: list[dict]) -
     inside = references.join(F.broadcast(front), (F.col("root") == F.col("n_root")) & (F.col("path") == F.col("n_path")) & F.col("start").between(F.col("n_start"), F.col("n_stop")))
     inside = inside.filter(F.col("start") != F.col("n_start"))
     # Only definitions of a name that is used inside can be meant.
-    names = inside.select("language", F.lower("name").alias("lname")).distinct()
-    able = definitions.withColumn("lname", F.lower("name")).join(names, ["language", "lname"], "left_semi").drop("lname")
-    held = three_tiers(inside, able)
+    held = three_tiers(inside, named(definitions, inside))
     itself = (F.col("target.root") == F.col("n_root")) & (F.col("target.path") == F.col("n_path")) & (F.col("target.start") == F.col("n_start"))
     reason = F.when(F.col("target").isNull(), "unresolved").when(itself, "self")
     kind = F.when(F.col("ref_kind") == "call", "outgoing_call").otherwise("outgoing_reference")

@@ -21,6 +21,11 @@ def classify(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, ["root", "path"], "full_outer").select("root", "path", status.alias("status"))
 
 
+def removed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Files of the old snapshot that the new one lacks."""
+    return old.join(new, ["root", "path"], "left_anti").select("root", "path")
+
+
 def severity(state: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, STATES)), state)
 

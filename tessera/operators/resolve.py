@@ -7,7 +7,7 @@ join on names alone broadcasts the names most used and so spreads their referenc
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.search import Filters, ordered
@@ -59,6 +59,29 @@ def owners(references: DataFrame, definitions: DataFrame) -> DataFrame:
     return out.select(*references.columns, owner.alias("owner"))
 
 
+def named(references: DataFrame, definitions: DataFrame, known: bool = True) -> DataFrame:
+    """References whose name some definition of their language has, or with known=False those whose name none has."""
+    names = definitions.select("language", F.lower("name").alias("lname")).distinct()
+    out = references.withColumn("lname", F.lower("name")).join(names, ["language", "lname"], "left_semi" if known else "left_anti")
+    return out.select(*references.columns)
+
+
+def best_of_each(definitions: DataFrame) -> DataFrame:
+    """The definition that each name resolves to, compared without case: least root, path and place."""
+    return best(definitions, [], ["root", "path", "start"], "found").select("lname", "found.*")
+
+
+def nearest_before(rows: DataFrame, keys: list[str], place: str, scope: Column, name: str) -> DataFrame:
+    """rows with `name`: the place of the last row before, among those of the same keys, that is a scope."""
+    before = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(name, F.max(F.when(scope, F.col(place))).over(before))
+
+
+def language_pairs(spark: SparkSession, compatible_: dict[str, tuple[str, ...]] = COMPATIBLE) -> DataFrame:
+    """(language, other): languages whose references can mean each other's definitions; one without an entry, its own alone."""
+    return spark.createDataFrame([(k, o) for k, others in compatible_.items() for o in others], "language string, other string")
+
+
 def compatible(language: str) -> Column:
     """Rows of a language whose references can mean definitions of this one."""
     return F.col("language").isin(list(COMPATIBLE.get(language, (language,))))

@@ -56,15 +56,16 @@ def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words after the first: calls where they end with a stop or a comma."""
-    each = lines(spark, sf_dir).select("root", "path", "language", "line", F.col("words")[0].alias("encl_name"), line_kind().alias("encl_kind"), F.posexplode("words").alias("place", "name")).filter("place > 0")
+    """The words after the first: calls where they end with a stop or a comma; each third line encloses nothing."""
+    held = F.when(F.col("line") % 3 != 2, F.col("words")[0])
+    each = lines(spark, sf_dir).select("root", "path", "language", "line", held.alias("encl_name"), line_kind().alias("encl_kind"), F.posexplode("words").alias("place", "name")).filter("place > 0")
     call = F.when(F.col("name").endswith(".") | F.col("name").endswith(","), "call").otherwise("reference")
     return each.select("root", "path", "language", call.alias("ref_kind"), "name", (F.col("line").cast("long") * LINE + F.col("place")).alias("start"), "encl_name", "encl_kind")
 
 
 TEXT = LINES + f""",
 defs AS (SELECT root, path, language, CASE WHEN line % 2 = 0 THEN 'function' ELSE 'class' END AS kind, words[1] AS name, line * {LINE} AS start, line * {LINE} + {LINE - 1} AS stop FROM lines),
-refs0 AS (SELECT root, path, language, line, words[1] AS encl_name, CASE WHEN line % 2 = 0 THEN 'function' ELSE 'class' END AS encl_kind, unnest(words) AS name, generate_subscripts(words, 1) - 1 AS place FROM lines),
+refs0 AS (SELECT root, path, language, line, CASE WHEN line % 3 <> 2 THEN words[1] END AS encl_name, CASE WHEN line % 2 = 0 THEN 'function' ELSE 'class' END AS encl_kind, unnest(words) AS name, generate_subscripts(words, 1) - 1 AS place FROM lines),
 refs AS (SELECT root, path, language, CASE WHEN name LIKE '%.' OR name LIKE '%,' THEN 'call' ELSE 'reference' END AS ref_kind, name, line * {LINE} + place AS start, encl_name, encl_kind FROM refs0 WHERE place > 0)"""
 
 

@@ -11,7 +11,7 @@ from tessera.operators.search import Filters
 from tessera.plans import bindings as B
 from tessera.plans.catalog import register
 from tessera.plans.shared import written
-from tessera.sources import languages
+from tessera.sources import discovery, languages
 
 # --- ranked search and filters over entities -------------------------------------------------------------------------
 
@@ -87,6 +87,11 @@ def resolve_definition_prefix(spark: SparkSession, d: str) -> DataFrame:
     return resolve.resolve_definition(B.definitions(spark, d), SYMBOL, Filters(prefix="en", kinds=["class"]))
 
 
+@register("resolve_definition_each", f"WITH {B.TEXT} SELECT lower(name) AS lname, arg_min(root, (root, path, start)) AS root, arg_min(path, (root, path, start)) AS path, arg_min(start, (root, path, start)) AS start FROM defs GROUP BY ALL")
+def resolve_definition_each(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.best_of_each(B.definitions(spark, d)).select("lname", "root", "path", "start")
+
+
 TIERS = """, t0 AS (SELECT language, root, path, lower(name) AS n, min(start) AS start FROM defs GROUP BY ALL),
 t1 AS (SELECT language, root, n, arg_min(path, (path, start)) AS path, arg_min(start, (path, start)) AS start FROM t0 GROUP BY ALL),
 t2 AS (SELECT language, n, arg_min(root, (root, path, start)) AS root, arg_min(path, (root, path, start)) AS path, arg_min(start, (root, path, start)) AS start FROM t0 GROUP BY ALL),
@@ -144,8 +149,8 @@ def pagination_meta(spark: SparkSession, d: str) -> DataFrame:
 
 @register("language_compat_join", f"WITH {B.FILES}, c AS (SELECT * FROM (VALUES ('en', 'en'), ('en', 'fr'), ('fr', 'en'), ('fr', 'fr'), ('de', 'de'), ('es', 'es')) t(language, other)) SELECT language, other, count(*) AS n FROM files JOIN c USING (language) GROUP BY ALL")
 def language_compat_join(spark: SparkSession, d: str) -> DataFrame:
-    pairs = [("en", "en"), ("en", "fr"), ("fr", "en"), ("fr", "fr"), ("de", "de"), ("es", "es")]
-    return B.files(spark, d).join(F.broadcast(spark.createDataFrame(pairs, "language string, other string")), "language").groupBy("language", "other").agg(F.count(F.lit(1)).alias("n"))
+    pairs = resolve.language_pairs(spark, {"en": ("en", "fr"), "fr": ("en", "fr"), "de": ("de",), "es": ("es",)})
+    return B.files(spark, d).join(F.broadcast(pairs), "language").groupBy("language", "other").agg(F.count(F.lit(1)).alias("n"))
 
 
 OWNERS = """, own AS (SELECT root, path, language, kind, lower(name) AS n, min(start) AS start FROM defs GROUP BY ALL),
@@ -159,8 +164,8 @@ def enclosing_owner(spark: SparkSession, d: str) -> DataFrame:
 
 @register("nearest_enclosing", """SELECT conv_id, turn, role, max(CASE WHEN role IN ('system', 'user') THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS scope_turn FROM conversations""")
 def nearest_enclosing(spark: SparkSession, d: str) -> DataFrame:
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return B.table(spark, d, "conversations").select("conv_id", "turn", "role", F.max(F.when(F.col("role").isin("system", "user"), F.col("turn"))).over(before).alias("scope_turn"))
+    turns = B.table(spark, d, "conversations").select("conv_id", "turn", "role")
+    return resolve.nearest_before(turns, ["conv_id"], "turn", F.col("role").isin("system", "user"), "scope_turn")
 
 
 # --- edges ------------------------------------------------------------------------------------------------------------
@@ -187,9 +192,17 @@ def incoming_edges(spark: SparkSession, d: str) -> DataFrame:
     return flat(graph.incoming(B.references(spark, d), B.definitions(spark, d), [seed(spark, d)]).filter("reason IS NULL"))
 
 
-@register("outgoing_edges", f"{GRAPH} SELECT {EDGE} FROM outg WHERE reason IS NULL")
+@register(
+    "outgoing_edges",
+    f"""{GRAPH}, nodes AS (SELECT *, row_number() OVER (ORDER BY root, path, start) - 1 AS parent FROM defs QUALIFY parent < 8)
+SELECT CAST(parent AS INTEGER) AS parent, CASE tiers.ref_kind WHEN 'call' THEN 'outgoing_call' ELSE 'outgoing_reference' END AS edge_kind, t_root AS r_root, t_path AS r_path, t_start AS r_start, tiers.root AS e_root, tiers.path AS e_path, tiers.start AS e_start
+ FROM tiers JOIN nodes ON tiers.root = nodes.root AND tiers.path = nodes.path AND tiers.start BETWEEN nodes.start AND nodes.stop
+ WHERE tiers.start <> nodes.start AND tier IS NOT NULL AND NOT (t_root = nodes.root AND t_path = nodes.path AND t_start = nodes.start)""",
+)
 def outgoing_edges(spark: SparkSession, d: str) -> DataFrame:
-    return flat(graph.outgoing(B.references(spark, d), B.definitions(spark, d), [seed(spark, d)]).filter("reason IS NULL"))
+    """Of the first eight definitions."""
+    nodes = [r.asDict() for r in B.definitions(spark, d).orderBy("root", "path", "start").limit(8).collect()]
+    return flat(graph.outgoing(B.references(spark, d), B.definitions(spark, d), nodes).filter("reason IS NULL"), "parent")
 
 
 @register("edge_dedup", f"{GRAPH} SELECT DISTINCT {EDGE} FROM (SELECT * FROM edges UNION ALL SELECT * FROM edges)")
@@ -243,8 +256,7 @@ for _reason in ("self", "unresolved", "ownerless"):
 
 @register("seen_anti_join", f"WITH {B.TEXT} SELECT r.root, r.path, r.start FROM refs r WHERE NOT EXISTS (SELECT 1 FROM defs d WHERE d.language = r.language AND lower(d.name) = lower(r.name))")
 def seen_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    known = B.definitions(spark, d).select("language", F.lower("name").alias("lname")).distinct()
-    return B.references(spark, d).withColumn("lname", F.lower("name")).join(known, ["language", "lname"], "left_anti").select("root", "path", "start")
+    return resolve.named(B.references(spark, d), B.definitions(spark, d), known=False).select("root", "path", "start")
 
 
 # --- dependencies -----------------------------------------------------------------------------------------------------
@@ -308,13 +320,12 @@ def refresh_classify(spark: SparkSession, d: str) -> DataFrame:
 
 @register("refresh_removed", f"WITH {CHANGES} SELECT root, path FROM changes WHERE status = 'removed'")
 def refresh_removed(spark: SparkSession, d: str) -> DataFrame:
-    old, new = snapshots(spark, d)
-    return old.join(new, ["root", "path"], "left_anti").select("root", "path")
+    return refresh.removed(*snapshots(spark, d))
 
 
 @register("content_hash", f"WITH {B.FILES} SELECT root, path, sha1(coalesce(content, '')) AS content_hash FROM files")
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    return B.files(spark, d).select("root", "path", F.sha1(F.coalesce("content", F.lit("")).cast("binary")).alias("content_hash"))
+    return B.files(spark, d).select("root", "path", T.content_hash(F.col("content")).alias("content_hash"))
 
 
 @register("fingerprint", """WITH r AS (SELECT source AS root, list_sort(list_distinct(list(lang))) AS x FROM documents GROUP BY source)
@@ -387,12 +398,11 @@ KNOWN = ", ".join(f"('{k}', '{e}')" for k, v in sorted(languages.LANGUAGES.items
 SOURCES = "(SELECT p_partkey AS id, p_name || CASE p_partkey % 8 WHEN 0 THEN '.py' WHEN 1 THEN '.TS' WHEN 2 THEN '.tsx' WHEN 3 THEN '.h++' WHEN 4 THEN '.md' WHEN 5 THEN '.rs' WHEN 6 THEN '' ELSE '.go' END AS path FROM part)"
 
 
-@register("discover_supported", f"SELECT s.id, s.path, l.language, CASE WHEN l.language IS NULL THEN 'unsupported extension' END AS reason FROM {SOURCES} s LEFT JOIN (VALUES {KNOWN}) l(language, extension) ON {EXTENSION} = l.extension")
+@register("discover_supported", f"SELECT s.id, s.path, l.language, CASE WHEN l.language IS NULL THEN 'no language has the extension ' || chr(39) || {EXTENSION} || chr(39) END AS reason FROM {SOURCES} s LEFT JOIN (VALUES {KNOWN}) l(language, extension) ON {EXTENSION} = l.extension")
 def discover_supported(spark: SparkSession, d: str) -> DataFrame:
     names = [".py", ".TS", ".tsx", ".h++", ".md", ".rs", "", ".go"]
     named = B.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % 8 + 1).cast("int"))).alias("path"))
-    out = named.withColumn("extension", T.extension(F.col("path"))).join(F.broadcast(languages.languages(spark)), "extension", "left")
-    return out.select("id", "path", "language", F.when(F.col("language").isNull(), "unsupported extension").alias("reason"))
+    return discovery.with_language(named).select("id", "path", "language", "reason")
 
 
 @register("exclusion_filter", f"WITH {PAGES} SELECT page_id, path FROM p WHERE NOT (list_has_any(string_split(path, '/'), ['de', 'es']) OR path = 'en/1' OR starts_with(path, 'en/1/') OR instr('/' || path || '/', '/en/1/') > 0)")
@@ -405,10 +415,7 @@ OWNED = [("all", ""), ("english", "en"), ("german", "de"), ("tens", "en/10")]
 
 @register("root_ownership", f"WITH {PAGES}, r AS (SELECT * FROM (VALUES {', '.join(str(x) for x in OWNED)}) t(owner, prefix)) SELECT page_id, path, arg_max(owner, length(prefix)) AS owner FROM p JOIN r ON prefix = '' OR path = prefix OR starts_with(path, prefix || '/') GROUP BY ALL")
 def root_ownership(spark: SparkSession, d: str) -> DataFrame:
-    owner = F.lit(None).cast("string")
-    for name, prefix in sorted(OWNED, key=lambda x: len(x[1])):
-        owner = F.when(T.under(F.col("path"), prefix) if prefix else F.lit(True), name).otherwise(owner)
-    return pages(spark, d).select("page_id", "path", owner.alias("owner"))
+    return pages(spark, d).select("page_id", "path", T.longest_owner(F.col("path"), OWNED).alias("owner"))
 
 
 CLEAN = "regexp_replace(regexp_replace(regexp_replace(translate(x, '\\', '/'), '/{2,}', '/', 'g'), '^(\\./)+', ''), '(.)/$', '\\1')"

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.text import content_hash
 from tessera.operators.refresh import classify
 from tessera.plans.shared import delete, ship, written
 from tessera.sources import frontends  # noqa: F401  (registers the frontends)
@@ -159,11 +160,12 @@ def hashed(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [c if c is not None else read_text(r, p) for r, p, c in zip(batch["root"], batch["path"], batch["content"], strict=True)]
-            yield batch.drop(columns="content").assign(hash=[digest(t) for t in texts])
+            yield batch.assign(hash=[digest(read_text(r, p)) for r, p in zip(batch["root"], batch["path"], strict=True)])
 
     ship(files.sparkSession)
-    return files.select("root", "path", "mtime", "size", "content").mapInPandas(run, "root string, path string, mtime double, size long, hash string")
+    held = files.filter("content IS NOT NULL").select("root", "path", "mtime", "size", content_hash(F.col("content")).alias("hash"))
+    local = files.filter("content IS NULL").select("root", "path", "mtime", "size")
+    return local.mapInPandas(run, "root string, path string, mtime double, size long, hash string").unionByName(held)
 
 
 def snapshots(files: DataFrame, old: DataFrame, stat_only: bool) -> DataFrame:
