@@ -1,13 +1,16 @@
 """The engine: a workspace, its index, and the requests that are answered from it.
 
 Every answer has the freshness of the index it was read from; tables come back as DataFrames. Lists of file names in an
-answer's facts and diagnostics have at most LISTED entries, with the whole number beside them.
+answer's facts and diagnostics have at most LISTED entries, with the whole number beside them. What answers read is kept
+in the shared folder for the last ANSWERS of them; what was written on the way is deleted at once. Roots on a disk are
+walked by the driver; larger workspaces belong into a store, whose uri Spark lists and reads.
 """
 
 from __future__ import annotations
 
 import json
 import threading
+from collections import deque
 from concurrent.futures import Future
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -19,14 +22,15 @@ from pyspark.sql import functions as F
 from tessera.functions.text import in_locale
 from tessera.operators import analysis, graph, refresh, resolve, search
 from tessera.operators.search import MAX_PAGE, PAGE, Filters
-from tessera.plans.shared import shared_dir, written
+from tessera.plans import shared
+from tessera.plans.shared import drop, forget, shared_dir, written
 from tessera.sources import discovery, index
 from tessera.sources.discovery import RequestError
 from tessera.sources.languages import FRONTENDS, LANGUAGES
 
 REQUESTS = ["info", "set_workspace", "capabilities", "health", "list_file_symbols", "search_workspace_symbols", "search_definitions", "resolve_definition", "search_references", "relationship_view", "analyze_complexity", "find_callers", "symbol_context", "dependency_analysis"]
 QUERY_TYPES = list(dict.fromkeys(["file_symbols", "workspace_symbols"] + ["definition_search", "definition_resolve"] + ["reference_search", "call_site_search"] + ["relationship_view"]))
-SAMPLE, LISTED = 20, 1_000
+SAMPLE, LISTED, ANSWERS = 20, 1_000, 32
 
 
 @dataclass
@@ -58,6 +62,16 @@ class Engine:
         self.exclusions: list[str] = []
         self.loads: dict[str, dict] = {}
         self._lock, self._running = threading.Lock(), None
+        self._kept: deque[DataFrame] = deque()
+
+    def keep(self, rows: DataFrame, name: str, since: int) -> DataFrame:
+        """rows, written for an answer; what was written on the way, after the first `since` tables, is deleted."""
+        out = written(rows, name)
+        forget(self.spark, since, keep=(out, *self._kept))
+        self._kept.append(out)
+        while len(self._kept) > ANSWERS:
+            drop(self._kept.popleft())
+        return out
 
     # --- workspace ---
 
@@ -105,7 +119,7 @@ class Engine:
         return running.result()
 
     def refreshed(self) -> tuple[DataFrame, dict[str, Any]]:
-        files, out, parts = self.files(), None, []
+        files, out, parts, since = self.files(), None, [], len(shared.WRITTEN)
         counts = {"refreshed": 0, "degraded": 0}
         for root, fingerprint in zip(self.roots, self.fingerprints(), strict=True):
             records, changes, state = index.refresh(self.store, fingerprint, files.filter(F.col("root") == root), self.stat_only)
@@ -123,6 +137,7 @@ class Engine:
         named = [(0, *[[label[root, p] for p in x] for x in (a, b)], datetime.now(UTC).isoformat(), state) for root, a, b, state in parts]
         held = self.spark.createDataFrame(named, "one int, refreshed array<string>, degraded array<string>, checked_at string, state string")
         whole = refresh.combine_freshness(held, ["one"]).first()
+        forget(self.spark, since, keep=tuple(self._kept))
         facts = {"freshness": whole["state"], "checked_at": whole["checked_at"], "fingerprint": index.aggregate_fingerprint(self.fingerprints())}
         for kind, n in counts.items():
             facts |= {f"{kind}_files": whole[kind][:LISTED], f"{kind}_count": n}
@@ -218,7 +233,7 @@ class Engine:
     def search_definitions(self, query: str, roots=None, language=None, prefix=None, kinds=None, limit: int = PAGE) -> Answer:
         filters = self.filters(roots, language, prefix, kinds)
         records, facts = self.records()
-        page = written(search.search(index.child(records, "definitions"), query, filters, self.roots, limit, locale=True), "page")
+        page = self.keep(search.search(index.child(records, "definitions"), query, filters, self.roots, limit, locale=True), "page", len(shared.WRITTEN))
         parts = search.breakdown(records.filter(filters.files()).select("root", "path"), page, filters.roots or self.roots)
         total = search.scored(index.child(records, "definitions"), query, filters).count() if query.strip() else 0
         return Answer(page.orderBy("rank"), {"total": total, "truncated": total > min(limit, MAX_PAGE), "breakdown": [r.asDict() for r in parts.collect()], **facts}, self.notes(facts))
@@ -259,7 +274,7 @@ class Engine:
         uses = uses if context else uses.drop("context", "encl_name", "encl_kind")
         limit = min(limit, MAX_PAGE)
         order = [search.root_place(self.roots), *search.by_path("root", "path", locale=True), F.when(F.col("ref_kind") == "call", 0).otherwise(1), F.col("start")]
-        page = written(search.ordered(uses, order, limit, offset), "page")
+        page = self.keep(search.ordered(uses, order, limit, offset), "page", len(shared.WRITTEN))
         facts |= {"target": found, "pagination": search.page_facts(uses, limit, offset).first().asDict()}
         searched = records.filter(filters.files() & resolve.compatible(found["language"]))
         facts["breakdown"] = [r.asDict() for r in search.breakdown(searched.select("root", "path"), page, filters.roots or self.roots).collect()]
@@ -276,8 +291,9 @@ class Engine:
         if found is None:
             return Answer(facts=facts, diagnostics=[problem("definition_not_found", "no such definition", "error")])
         kinds = [k for k in graph.KINDS if k in kinds] if kinds else graph.KINDS
+        since = len(shared.WRITTEN)
         edges, reached = graph.relationship_view(references, definitions, found, depth, limit, offset, kinds, chosen, language, self.roots, locale=True)
-        edges = written(edges, "edges")
+        edges = self.keep(edges, "edges", since)
         limit = min(limit, MAX_PAGE)
         facts |= {"seed": found, "budget_reached": reached, "pagination": search.page_facts(edges, limit, offset).first().asDict()}
         skipped = graph.tried(references, definitions, [found], kinds, chosen, language).filter("reason IS NOT NULL").groupBy("reason").count().collect()
@@ -309,8 +325,9 @@ class Engine:
         seed = self.spark.createDataFrame([tuple(found[c] for c in ("root", "path", "start"))], "root string, path string, start long").select(self.key()).first()[0]
         names = definitions.select(self.key().alias("node"), "name", "kind", "root", "path", "start", "language")
         allowed = names.filter(filters.files()).select("node") if filters.roots or filters.language else None
+        since = len(shared.WRITTEN)
         out = graph.dependencies(self.links(records), seed, depth, kinds, written, allowed)
-        out = written(out.join(names.drop("language"), "node").drop("node"), "dependencies")
+        out = self.keep(out.join(names.drop("language"), "node").drop("node"), "dependencies", since)
         limit = min(limit, MAX_PAGE)
         order = [F.col("depth"), F.col("direction"), search.root_place(self.roots), *search.by_path("root", "path", locale=True), F.col("start")]
         return Answer(search.ordered(out, order, limit, offset).orderBy("rank"), {"seed": found, "pagination": search.page_facts(out, limit, offset).first().asDict(), **facts}, self.notes(facts))

@@ -32,6 +32,13 @@ class Parsed:
     calls: list[dict] = field(default_factory=list)
     functions: list[dict] = field(default_factory=list)
     failure: str | None = None
+    at: int | None = None  # where the first error is, if that is known
+    line: int | None = None
+    column: int | None = None
+
+
+def failed(text: str, message: str, at: int) -> Parsed:
+    return Parsed(failure=message, at=at, **dict(zip(("line", "column"), Places(text)(at), strict=True)))
 
 
 @dataclass
@@ -142,7 +149,12 @@ def python(text: str) -> Parsed:
         tree = ast.parse(text)
         tokens = list(tokenize.generate_tokens(io.StringIO(text).readline))
     except (SyntaxError, ValueError, RecursionError, tokenize.TokenError) as e:
-        return Parsed(failure=f"{type(e).__name__}: {getattr(e, 'msg', e)}")
+        message = f"{type(e).__name__}: {getattr(e, 'msg', e)}"
+        place = (e.lineno, e.offset) if isinstance(e, SyntaxError) else e.args[1] if isinstance(e, tokenize.TokenError) and len(e.args) > 1 else None
+        if not place or not place[0]:
+            return Parsed(failure=message)
+        begin = [0, *(m.end() for m in re.finditer("\n", text))]
+        return failed(text, message, min(len(text), begin[min(place[0], len(begin)) - 1] + max(0, (place[1] or 1) - 1)))
     starts = [0]
     for line in re.split("(?<=\n)", text):
         starts.append(starts[-1] + len(line))
@@ -237,11 +249,11 @@ def braces(text: str, grammar: Braces) -> Parsed:
             stack.append(i)
         elif s in CLOSE:
             if not stack or tokens[stack[-1]][1] != CLOSE[s]:
-                return Parsed(failure=f"unexpected {s} at {at}")
+                return failed(text, f"unexpected {s}", at)
             pair[stack[-1]] = i
             pair[i] = stack.pop()
     if stack:
-        return Parsed(failure=f"{tokens[stack[-1]][1]} at {tokens[stack[-1]][2]} is not closed")
+        return failed(text, f"{tokens[stack[-1]][1]} is not closed", tokens[stack[-1]][2])
     n = len(tokens)
     word = lambda i: tokens[i][1] if 0 <= i < n else ""
     is_name = lambda i: 0 <= i < n and tokens[i][0] == "name" and tokens[i][1] not in grammar.keywords

@@ -38,7 +38,7 @@ CHILDREN = {
     "calls": _struct("callee function_name snippet", "start stop line column", ("chain", T.ArrayType(S))),
     "functions": _struct("name", "start stop cyclomatic_complexity statement_count max_nesting_depth lines_of_code"),
 }
-RECORD = T.StructType([T.StructField(c, S) for c in ("root", "path", "language", "hash", "failure")] + [T.StructField("mtime", T.DoubleType()), T.StructField("size", L)] + [T.StructField(c, k) for c, k in CHILDREN.items()])
+RECORD = T.StructType([T.StructField(c, S) for c in ("root", "path", "language", "hash", "failure")] + [T.StructField("mtime", T.DoubleType()), *(T.StructField(c, L) for c in ("size", "failure_start", "failure_line", "failure_column"))] + [T.StructField(c, k) for c, k in CHILDREN.items()])
 
 
 def read_text(root: str, path: str) -> str | None:
@@ -69,7 +69,7 @@ def parse(files: DataFrame) -> DataFrame:
                         out = FRONTENDS[f["language"]](text)
                     except Exception as e:  # noqa: BLE001  one file must not stop the others
                         out = frontends.Parsed(failure=f"{type(e).__name__}: {e}")
-                row = {c: f[c] for c in ("root", "path", "language", "mtime", "size")} | {"hash": digest(text), "failure": out.failure}
+                row = {c: f[c] for c in ("root", "path", "language", "mtime", "size")} | {"hash": digest(text), "failure": out.failure, "failure_start": out.at, "failure_line": out.line, "failure_column": out.column}
                 rows.append(row | {c: getattr(out, c) if out.failure is None else [] for c in CHILDREN})
             yield pd.DataFrame(rows, columns=RECORD.names)
 
@@ -84,7 +84,7 @@ def child(records: DataFrame, name: str) -> DataFrame:
 
 def diagnostics(records: DataFrame) -> DataFrame:
     code = F.when(F.col("failure") == UNREADABLE, "file_unreadable").otherwise("parse_failed")
-    return records.filter("failure IS NOT NULL").select(code.alias("code"), F.lit("warning").alias("severity"), F.col("failure").alias("message"), "root", "path", "language")
+    return records.filter("failure IS NOT NULL").select(code.alias("code"), F.lit("warning").alias("severity"), F.col("failure").alias("message"), "root", "path", "language", F.col("failure_start").alias("start"), F.col("failure_line").alias("line"), F.col("failure_column").alias("column"))
 
 
 def workspace_fingerprint(root: str, exclusions: list[str]) -> str:

@@ -244,6 +244,26 @@ def test_the_store_checks_what_it_loads(spark, tmp_path, root, monkeypatch):
     assert engine.store.manifest(fingerprint)["version"] == "999"
 
 
+def test_answers_leave_nothing_but_themselves(engine, monkeypatch):
+    from tessera.plans import engine as module, shared
+
+    monkeypatch.setattr(module, "ANSWERS", 2)
+    before = len(shared.WRITTEN)
+    engine.relationship_view("helper", depth=2)
+    engine.dependency_analysis("orchestrate", depth=3)
+    assert len(shared.WRITTEN) == before + 2
+    last = engine.search_definitions("helper"), engine.search_references("helper")
+    assert len(shared.WRITTEN) == before + 2 and all(x.rows.count() for x in last)
+
+
+def test_where_a_file_breaks(spark):
+    from tessera.sources.languages import FRONTENDS
+
+    for language, text, place in (("typescript", "let x = 1;\nfunction broken( {", (28, 2, 18)), ("javascript", "a();\n}", (5, 2, 1)), ("python", "x = 1\ndef two(:\n", (14, 2, 9)), ("python", "x = (1,\n", (4, 1, 5))):
+        out = FRONTENDS[language](text)
+        assert out.failure and (out.at, out.line, out.column) == place
+
+
 def test_requests_at_once_share_a_refresh(engine, monkeypatch):
     import threading
 
