@@ -9,8 +9,8 @@ the text's vector is taken by the quasi-orthogonality of random vectors, DIM * s
 Letters are the characters with str.isalpha(), case-folded to one of 63 symbols (a-z apart, others by code point);
 anything else is a word end, symbol 0.
 
-Training: rows whose lang is not null, crc32(doc_id as text) mod 5 is not 0; at most SAMPLE of them, chosen by the
-hash of their id. Only counts of n-grams by language reach the driver: languages * 2 ** 18 numbers at most.
+Training: rows whose lang is not null, crc32(doc_id as text) mod 5 is not 0; about SAMPLE of them at most, chosen by
+the hash of their id and text. Only counts of n-grams by language reach the driver: languages * 2 ** 18 numbers at most.
 
 keep_identified() rejects texts without a letter and texts without evidence: the cosine of unrelated vectors is 1 / sqrt(DIM)
 in the mean square, and a text of LEAST_GRAMS n-grams or more whose best cosine is below SIGMAS times that shares no more
@@ -111,7 +111,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM) -> tuple[list[s
     """Languages and products of each n-gram with their prototypes (normed, cosines but for the text's norm)."""
     rows = docs.filter(F.col("lang").isNotNull() & (crc_fold(F.col("doc_id"), 5) != 0))
     share = min(1.0, sample / max(1, rows.count()))
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
     counts = mapped(chosen.select("lang", "text"), count_codes, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     found = counts.toArrow()
     if not found.num_rows:

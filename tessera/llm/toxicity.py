@@ -32,7 +32,7 @@ LEARNED = 300
 #: Bytes of the stems that are tried, besides the whole word (0).
 STEMS = (4, 5, 6, 0)
 #: Units that a task counts before it hands them on.
-UNITS_HELD = 400_000
+UNITS_HELD = 200_000
 #: A learned word or stem occurs in so many toxic training texts and such a share of them, and its odds there are so many times
 #: those elsewhere.
 LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 5, 0.01, 8.0
