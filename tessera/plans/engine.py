@@ -335,11 +335,15 @@ class Engine:
     # --- analysis ---
 
     def analyze_complexity(self, path: str, root: str | None = None, symbol: str | None = None) -> Answer:
+        """Metrics of the functions of one file, parsed now, and their summary."""
         root, rel = self.target(path, root)
-        functions, facts = self.child("functions")
-        found = functions.filter((F.col("root") == root) & (F.col("path") == rel))
-        found = found.filter(F.col("name") == symbol) if symbol else found
-        return Answer(found.orderBy("start"), {"summary": analysis.complexity_summary(found).first().asDict(), **facts}, self.notes(facts))
+        file = discovery.discover(self.spark, [root], self.exclusions).filter(F.col("path") == rel)
+        found = file.first()
+        if found is None or found["language"] is None:
+            return Answer(diagnostics=[problem("unsupported_file", found["reason"], "error") if found else problem("file_not_found", f"{rel} is not in {root}", "error")])
+        metrics = analysis.function_metrics(index.nodes(file), ["root", "path", "name", "start", "stop"])
+        metrics = metrics.filter(F.col("name") == symbol) if symbol else metrics
+        return Answer(metrics.orderBy("start"), {"summary": analysis.complexity_summary(metrics).first().asDict()}, self.failures(index.parse(file)))
 
     def find_callers(self, symbol: str, roots=None, language=None, depth: int = 2) -> Answer:
         filters = self.filters(roots, language)

@@ -30,7 +30,7 @@ class Parsed:
     definitions: list[dict] = field(default_factory=list)
     references: list[dict] = field(default_factory=list)
     calls: list[dict] = field(default_factory=list)
-    functions: list[dict] = field(default_factory=list)
+    nodes: list[dict] = field(default_factory=list)
     failure: str | None = None
     at: int | None = None  # where the first error is, if that is known
     line: int | None = None
@@ -136,11 +136,11 @@ def shape(text: str, scopes: list[Scope], names: list[tuple[str, int]], calls: l
         if not s.callable:
             continue
         inside = [m for m in marks[bisect.bisect_left(starts, s.start) : bisect.bisect_right(starts, s.stop)] if m[3] <= s.stop and (m[0], m[3]) != (s.start, s.stop)]
-        depth, branches = 0, Open([m for m in inside if m[1]], lambda m: (m[0], m[3]))
-        for m in inside:
-            depth = max(depth, sum((x[0], x[3]) != (m[0], m[3]) for x in branches.at(m[0], m[3])))
-        first, last = place(s.start)[0], place(max(s.start, s.stop - 1))[0]
-        out.functions.append({"name": s.name or "(anonymous)", "start": s.start, "stop": s.stop, "cyclomatic_complexity": 1 + sum(m[1] for m in inside), "statement_count": sum(m[2] for m in inside), "max_nesting_depth": depth, "lines_of_code": last - first + 1})
+        branches = Open([m for m in inside if m[1]], lambda m: (m[0], m[3]))
+        key = {"name": s.name or "(anonymous)", "start": s.start, "stop": s.stop}
+        # The function's own first and last line, then its branches and statements with the branches that they stand in.
+        out.nodes += [key | {"is_branch": False, "is_statement": False, "depth": 0, "line": place(at)[0]} for at in (s.start, max(s.start, s.stop - 1))]
+        out.nodes += [key | {"is_branch": m[1], "is_statement": m[2], "depth": sum((x[0], x[3]) != (m[0], m[3]) for x in branches.at(m[0], m[3])), "line": place(m[0])[0]} for m in inside]
     return out
 
 

@@ -1,6 +1,6 @@
-"""The index: files read and parsed into four tables, kept as Parquet, refreshed by snapshot.
+"""The index: files read and parsed into three tables, kept as Parquet, refreshed by snapshot.
 
-One row a file holds its definitions, references, call sites and function metrics as arrays; the child tables are
+One row a file holds its definitions, references and call sites as arrays; the child tables are
 views that explode them. A build parses files in parallel tasks; a refresh parses only files that changed. A file that
 cannot be read where it is parsed, or not be parsed, has a failure and no rows.
 """
@@ -36,9 +36,9 @@ CHILDREN = {
     "definitions": _struct("kind name container params returns base implements snippet", "start stop sel_start sel_stop line column"),
     "references": _struct("ref_kind name container encl_name encl_kind context", "start stop sel_start sel_stop line column"),
     "calls": _struct("callee function_name snippet", "start stop line column", ("chain", T.ArrayType(S))),
-    "functions": _struct("name", "start stop cyclomatic_complexity statement_count max_nesting_depth lines_of_code"),
 }
 RECORD = T.StructType([T.StructField(c, S) for c in ("root", "path", "language", "hash", "failure")] + [T.StructField("mtime", T.DoubleType()), *(T.StructField(c, L) for c in ("size", "failure_start", "failure_line", "failure_column"))] + [T.StructField(c, k) for c, k in CHILDREN.items()])
+NODE = T.StructType([*(T.StructField(c, S) for c in ("root", "path", "language", "name")), *(T.StructField(c, L) for c in ("start", "stop", "depth", "line")), *(T.StructField(c, T.BooleanType()) for c in ("is_branch", "is_statement"))])
 
 
 def read_text(root: str, path: str) -> str | None:
@@ -77,8 +77,22 @@ def parse(files: DataFrame) -> DataFrame:
     return files.filter("language IS NOT NULL").select("root", "path", "language", "mtime", "size", "content").mapInPandas(run, RECORD)
 
 
+def nodes(files: DataFrame) -> DataFrame:
+    """The nodes that the metrics of functions count, of files parsed now; they are not kept in the index."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for f in batch.to_dict("records"):
+                text = f["content"] if f["content"] is not None else read_text(f["root"], f["path"])
+                found = FRONTENDS[f["language"]](text).nodes if text is not None else []
+                yield pd.DataFrame([{c: f[c] for c in ("root", "path", "language")} | n for n in found], columns=NODE.names)
+
+    ship(files.sparkSession)
+    return files.filter("language IS NOT NULL").select("root", "path", "language", "content").mapInPandas(run, NODE)
+
+
 def child(records: DataFrame, name: str) -> DataFrame:
-    """definitions, references, calls or functions of all records, a row each."""
+    """definitions, references or calls of all records, a row each."""
     return records.select("root", "path", "language", F.explode(name).alias("_x")).select("root", "path", "language", "_x.*")
 
 

@@ -79,7 +79,12 @@ def test_dependencies(engine):
 
 def test_analysis(engine):
     found = engine.analyze_complexity("src/core.ts")
-    assert found.facts["summary"]["total"] == 5
+    assert found.facts["summary"]["total"] == 5 and found.diagnostics == []
+    assert [(r["name"], r["cyclomatic_complexity"], r["lines_of_code"]) for r in found.rows.collect()][:2] == [("sanitizeName", 2, 1), ("formatName", 2, 1)]
+    assert [r["name"] for r in engine.analyze_complexity("src/core.ts", symbol="helper").rows.collect()] == ["helper"]
+    broken = engine.analyze_complexity("src/broken.ts")
+    assert broken.facts["summary"]["total"] == 0 and broken.diagnostics[0]["code"] == "parse_failed"
+    assert engine.analyze_complexity("notes.txt").diagnostics[0]["code"] == "unsupported_file"
     callers = engine.find_callers("helper").rows.collect()
     assert [r["function_name"] for r in callers] == ["helper", "sayHello", "orchestrate", "Panel"]
     context = engine.symbol_context("helper").facts
