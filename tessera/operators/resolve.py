@@ -1,8 +1,8 @@
 """Resolution of names to definitions: the best one of a request, and that of each reference.
 
 Names are compared without case. Where many definitions share a name, the best of each key is found by one aggregation
-and references join at most one row a tier, so a name that all files use costs no more rows than it has references; the
-join on names alone broadcasts the names most used and so spreads their references.
+and references join at most one row a tier, so a name that all files use costs no more rows than it has references, and
+these are spread over tasks.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.search import Filters, ordered
-from tessera.plans.shared import salted_join
+from tessera.plans import shared
 
 TARGET = ("root", "path", "start", "kind", "name")
+ONE_IN = 64
 COMPATIBLE = {"typescript": ("typescript", "tsx"), "tsx": ("typescript", "tsx")}
 
 
@@ -30,24 +31,33 @@ def best(definitions: DataFrame, keys: list[str], order: list[str], name: str) -
     return definitions.withColumn("lname", F.lower("name")).groupBy(*keys, "lname").agg(F.min(row).alias(name))
 
 
+def hot_names(references: DataFrame, place: Column) -> DataFrame:
+    """(language, lname, hot) of the names most used, HOT_KEYS at most: those with over HOT_ROWS references by the count of
+    one in ONE_IN of them, by the hash of their place. It only decides how rows are dealt out, not what joins."""
+    some = references.filter(F.pmod(place, F.lit(ONE_IN)) == 0).groupBy("language", F.lower("name").alias("lname")).agg((ONE_IN * F.count(F.lit(1))).alias("uses"))
+    return some.filter(F.col("uses") > shared.HOT_ROWS).orderBy(F.desc("uses")).limit(shared.HOT_KEYS).select("language", "lname", F.lit(True).alias("hot"))
+
+
 def three_tiers(references: DataFrame, definitions: DataFrame) -> DataFrame:
     """References with `target`, the definition of their name and language in the same file, else the same root, else
     anywhere (least path and place; anywhere: root first), and `tier` 0, 1 or 2; unresolved ones have nulls.
 
-    Two shuffles of the references: one by file and name, one by name alone, where a row a name holds the best definition
-    of each root (workspaces have few) and of all.
+    Each join has one row a name on its right. References of the names most used are spread by a salt, by which the
+    definitions of these names, few as they are, are copied.
     """
-    pick = lambda c: F.struct(*[c[k].alias(k) for k in TARGET])
+    pick = lambda c: F.struct(*[F.col(f"{c}.{k}").alias(k) for k in TARGET])
     in_file = best(definitions, ["language", "root", "path"], ["start"], "t0")
     in_root = best(definitions, ["language", "root"], ["path", "start"], "t1")
-    first = F.min(F.struct("root", F.col("t1.path").alias("path"), F.col("t1.start").alias("start"), F.col("t1.kind").alias("kind"), F.col("t1.name").alias("name")))
-    names = in_root.groupBy("language", "lname").agg(first.alias("t2"), F.map_from_entries(F.collect_list(F.struct("root", "t1"))).alias("t1s"))
-    out = references.withColumn("lname", F.lower("name")).join(in_file, ["language", "root", "path", "lname"], "left")
-    used = references.groupBy("language", F.lower("name").alias("lname")).agg(F.count(F.lit(1)).alias("uses"))
-    out = salted_join(out, names.join(used, ["language", "lname"]), ["language", "lname"], "uses")
-    t0, t1, t2 = F.col("t0"), F.try_element_at("t1s", F.col("root")), F.col("t2")
-    tier = F.when(t0.isNotNull(), 0).when(t1.isNotNull(), 1).when(t2.isNotNull(), 2)
-    target = F.when(t0.isNotNull(), pick(t0)).when(t1.isNotNull(), pick(t1)).when(t2.isNotNull(), pick(t2))
+    anywhere = best(definitions, ["language"], ["root", "path", "start"], "t2")
+    place = F.xxhash64("root", "path", "start")
+    hot = F.broadcast(hot_names(references, place))
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(shared.SALTS - 1))).otherwise(F.array(F.lit(-1)))
+    copied = lambda df: df.join(hot, ["language", "lname"], "left").withColumn("salt", F.explode(copies)).drop("hot")
+    out = references.withColumn("lname", F.lower("name")).join(in_file, ["language", "root", "path", "lname"], "left").join(hot, ["language", "lname"], "left")
+    out = out.withColumn("salt", F.when(F.col("hot"), F.pmod(place, F.lit(shared.SALTS)).cast("int")).otherwise(-1)).drop("hot")
+    out = out.join(copied(in_root), ["language", "root", "lname", "salt"], "left").join(copied(anywhere), ["language", "lname", "salt"], "left")
+    tier = F.when(F.col("t0").isNotNull(), 0).when(F.col("t1").isNotNull(), 1).when(F.col("t2").isNotNull(), 2)
+    target = F.when(F.col("t0").isNotNull(), pick("t0")).when(F.col("t1").isNotNull(), pick("t1")).when(F.col("t2").isNotNull(), pick("t2"))
     return out.select(*references.columns, target.alias("target"), tier.alias("tier"))
 
 

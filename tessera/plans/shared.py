@@ -80,18 +80,19 @@ def forget(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()
         delete(spark, path)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, by: list[str] | None = None) -> DataFrame:
     """left LEFT JOIN right ON keys, where right has one row a key and its column `rows` tells how many rows of left have that key.
 
     Hot keys meet their rows where these are (HOT_KEYS rows at most are broadcast) and then go on spread by a salt, as do
-    rows with a null key, which match nothing; the others are shuffled once, by key.
+    rows with a null key, which match nothing; the others are shuffled once, by key. The salt is a hash of the columns `by`,
+    all if not given, so a task that runs again deals its rows out alike.
     """
     extra = [c for c in right.columns if c not in keys]
     if not extra:
         raise ValueError("right has nothing but keys")
     side = lambda df, name: df.select(*keys, F.struct(*extra).alias(name))
     hot = right.filter(F.col(rows) > HOT_ROWS).orderBy(F.desc(rows)).limit(HOT_KEYS)
-    out = left.withColumn("_join_spread", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
+    out = left.withColumn("_join_spread", F.pmod(F.xxhash64(*(by or left.columns)), F.lit(SALTS)).cast("int"))
     out = out.join(F.broadcast(side(hot, "_join_hot")), keys, "left")
     lost = F.lit(False)
     for k in keys:
