@@ -125,7 +125,7 @@ def marked(docs: DataFrame, within: bool = False, rid: str | None = None) -> Dat
     parts = each.select("rid", "doc_id", F.posexplode("parts").alias("place", "part")).select("rid", "doc_id", "place", "part.*")
     seen = parts.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("one"), F.max("rid").alias("other"), F.min(F.coalesce("doc_id", F.lit(LAST))).alias("keeper"))
     seen = materialize(seen.filter("n > 1" if within else "one <> other").select("digest", "n", "keeper"), "seen")
-    again = salted_join(parts, seen, ["digest"], "n").filter("keeper IS NOT NULL").drop("n")
+    again = salted_join(parts, seen, ["digest"], "n", ["rid", "place"]).filter("keeper IS NOT NULL").drop("n")
     own = F.array_sort(F.collect_list(F.struct("place", "digest", "start", "after", "words", "keeper")))
     return again.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), own.alias("parts"))
 
