@@ -369,7 +369,7 @@ def braces(text: str, grammar: Braces) -> Parsed:
                 while body < n and word(body) not in ("{", ";"):
                     body += 1
             before = tokens[i - 1] if i else ("", "", 0, 0)
-            heads = before[0] == "name" and before[1] not in w("return new throw await else case in of typeof delete go defer") or before[1] in ("*", "&", ">", "]", "::")
+            heads = before[0] == "name" and before[1] not in w("return new throw await else case in of typeof delete go defer do not co_await co_return co_yield") or before[1] in ("*", "&", ">", "]", "::")
             opens = word(body) == "{" and (heads or before[1] in ("{", "}", ";", "") and (in_class(i) or not grammar.arrows))
             if opens and (grammar.typed or (grammar.arrows and in_class(i))) and word(i - 1) not in (".", "->", "?."):
                 method = in_class(i)

@@ -97,6 +97,7 @@ def test_language_table():
     ("language", "text", "want"),
     [
         ("cpp", "int add(int a, const T& b);\nnamespace n { void go(); }\nint main() { A a(1); int x = add(1, 2); return go(x); }", [("function", "add"), ("variable", "n"), ("function", "go"), ("function", "main")]),
+        ("cpp", "void go() { if (not ok(x)) co_return more(y); else less(z); do again(w); while (x); }", [("function", "go")]),
         ("cpp", "typedef unsigned long Size;\ntypedef struct { int x; } Pair;\nstruct S { int f(int x); };", [("variable", "Size"), ("variable", "Pair"), ("class", "S")]),
         ("c", "typedef struct P { int x; } Q;\ntypedef int Row[4];", [("variable", "Q"), ("class", "P"), ("variable", "Row")]),
         ("csharp", "delegate int Op(int x);\ninterface I { int Run(int x); }\nabstract class A { public abstract void Go(); void Do() { Go(); } }", [("variable", "Op"), ("interface", "I"), ("function", "Run"), ("class", "A"), ("method", "Go"), ("method", "Do")]),
