@@ -121,7 +121,11 @@ TEMPLATES = {
         "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     ],
 }
-COMMON = frozenset(b"a above all an and any are as at be by can for form forms from has in into is it may met no not of on or other out part that the their this to under use with without work you v".split())
+COMMON = frozenset(
+    b"a above all along also an and any are as at be but by can copy even ever every first following for form forms free from has have he her his how however if in into is it its made may means met "
+    b"more no nor not of on one only or other out own part person provided rights see shall so such that the their there these they this those to under use used was were whether which who will with "
+    b"within without work you your v".split()
+)
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 or c == 10 else 32 for c in range(256))
 
 
