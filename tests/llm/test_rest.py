@@ -240,6 +240,47 @@ def test_mined_rules_are_all_that_counting_finds(spark, seed):
     assert {(tuple(r["tokens"]), r["verdict"]) for r in got} == {x for x in brute_rules(rows, 0.03, 0.85)}
 
 
+@pytest.mark.parametrize("items", [1, 3, 12])
+@pytest.mark.parametrize("seed", range(2))
+def test_divided_databases_give_all_rules(spark, monkeypatch, seed, items):
+    """Whether FP-growth gets whole databases or conditional ones, the rules are those that counting finds."""
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(120):
+        own = sorted(rng.sample("abcdefg", rng.randint(2, 7)))
+        rows.append((own + ["a2"] * ("a" in own), "block" if "a" in own and "b" not in own or "c" in own and "d" in own and rng.random() < 0.9 else "allow"))
+    monkeypatch.setattr(url_filter, "ITEMS", items)
+    got = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.8).collect()
+    assert {(tuple(r["tokens"]), r["verdict"]): (r["confidence"], r["support"]) for r in got} == brute_rules_of_any_size(rows, 0.02, 0.8)
+
+
+def brute_rules_of_any_size(rows, support, confidence):
+    """The rules with confidence and support, by looking at every set of tokens."""
+    from itertools import combinations
+
+    tokens, found = sorted({t for own, _ in rows for t in own}), {}
+    for n in range(1, len(tokens) + 1):
+        for part in combinations(tokens, n):
+            own = [(t, v) for t, v in rows if set(part) <= set(t)]
+            if not own or set.intersection(*(set(t) for t, _ in own)) != set(part):
+                continue
+            for verdict in ("allow", "block"):
+                good = sum(v == verdict for _, v in own)
+                if good >= support * len(rows) and good >= confidence * len(own):
+                    found[part, verdict] = (good / len(own), good / len(rows))
+    return {k: x for k, x in found.items() if not any(w == k[1] and set(q) < set(k[0]) and y[0] >= x[0] for (q, w), y in found.items())}
+
+
+def test_what_decides_may_be_the_rarest_of_many_tokens(spark):
+    """Each url has 12 or 13 tokens that the others have too, and one or two of its own, which are rarer and decide together."""
+    common = [f"c{i:02d}" for i in range(14)]
+    rows = [([c for k, c in enumerate(common) if k not in (i % 14, i * 7 % 13)] + own, verdict) for i in range(90) for own, verdict in ((["x", "y"], "block"), (["x"], "allow"), (["y"], "allow"), (["z"], "block"))]
+    got = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.1, 0.95).collect()
+    assert {("x", "y"), ("z",)} <= {tuple(r["tokens"]) for r in got if r["verdict"] == "block" and r["confidence"] == 1.0}
+
+
 def test_tokens_that_always_stand_together_cost_one_item(spark):
     rows = [([f"t{i}" for i in range(60)], "block")] * 40 + [(["other"], "allow")] * 40
     got = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string")).collect()
